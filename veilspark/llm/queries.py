@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.llm.bpe import op4_bpe
+from veilspark.llm.jaccard import op2_jaccard
 from veilspark.llm.langid import op7_langid
 from veilspark.llm.mjpeg import op10_avi_mjpeg
 from veilspark.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard": op2_jaccard,
     "op4_bpe": op4_bpe,
     "op7_langid": op7_langid,
     "op8_toxicity": op8_toxicity,
