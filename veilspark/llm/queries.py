@@ -11,12 +11,14 @@ from veilspark.llm.jaccard import op2_jaccard
 from veilspark.llm.langid import op7_langid
 from veilspark.llm.mixing import op5_mixing
 from veilspark.llm.mjpeg import op10_avi_mjpeg
+from veilspark.llm.sharding import op6_sharding
 from veilspark.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard": op2_jaccard,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
+    "op6_sharding": op6_sharding,
     "op7_langid": op7_langid,
     "op8_toxicity": op8_toxicity,
     "op10_avi_mjpeg": op10_avi_mjpeg,
