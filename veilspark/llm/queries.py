@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilspark.llm.binary import op9_token_ids
 from veilspark.llm.bpe import op4_bpe
 from veilspark.llm.jaccard import op2_jaccard
 from veilspark.llm.langid import op7_langid
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_langid": op7_langid,
     "op8_toxicity": op8_toxicity,
+    "op9_token_ids": op9_token_ids,
     "op10_avi_mjpeg": op10_avi_mjpeg,
 }
 ORACLES: dict[str, str] = {}
