@@ -14,8 +14,11 @@ from veilspark.llm.mixing import op5_mixing
 from veilspark.llm.mjpeg import op10_avi_mjpeg
 from veilspark.llm.sharding import op6_sharding
 from veilspark.llm.toxicity import op8_toxicity
+from veilspark.llm.urls import ORACLE as HOST_REPUTATION_SQL
+from veilspark.llm.urls import op1_host_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_host_reputation": op1_host_reputation,
     "op2_jaccard": op2_jaccard,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
@@ -25,4 +28,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_ids": op9_token_ids,
     "op10_avi_mjpeg": op10_avi_mjpeg,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_host_reputation": HOST_REPUTATION_SQL,
+}
