@@ -12,6 +12,7 @@ from veilspark.llm.jaccard import op2_jaccard
 from veilspark.llm.langid import op7_langid
 from veilspark.llm.mixing import op5_mixing
 from veilspark.llm.mjpeg import op10_avi_mjpeg
+from veilspark.llm.quality import op3_divergence
 from veilspark.llm.sharding import op6_sharding
 from veilspark.llm.toxicity import op8_toxicity
 from veilspark.llm.urls import ORACLE as HOST_REPUTATION_SQL
@@ -20,6 +21,7 @@ from veilspark.llm.urls import op1_host_reputation
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_reputation": op1_host_reputation,
     "op2_jaccard": op2_jaccard,
+    "op3_divergence": op3_divergence,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
