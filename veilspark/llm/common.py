@@ -68,7 +68,8 @@ def prefix_sums(df: DataFrame, parts: list[str], key: str, ties: list[str], weig
     before = Window.partitionBy(*parts).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(parts)], F.col("_range").alias("_r"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*parts, "_range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranged.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    dealt = ranged.repartition(*parts, "_range")  # else Spark may keep an earlier dealing by the parts alone
+    ranked = dealt.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     same = F.col("_range") == F.col("_r")
     for i, p in enumerate(parts):
         same = same & F.col(p).eqNullSafe(F.col(f"_p{i}"))
