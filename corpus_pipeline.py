@@ -1,22 +1,44 @@
-"""The corpus pipeline: documents to token ids."""
+"""The corpus pipeline: documents to mixed, tokenized training data.
+
+Each stage reads what the one before it has written, decides over all of it, and its
+decisions take effect. All but the last return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe, langid
+from veilspark.llm import bpe, jaccard, langid, mixing, toxicity
 from veilspark.llm.common import table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the models of all languages do not reject."""
     return langid.keep_identified(docs, langid.train(docs, langid.is_training()))
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under one half."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.is_training()))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of near duplicates."""
+    return jaccard.keep_one(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; repeats are rows of their own."""
+    return mixing.take(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row."""
     return bpe.digests(bpe.encode_documents(docs))
 
 
-STAGES = [("language", language), ("encode", encode)]
+STAGES = [("language", language), ("toxicity", toxic), ("near-duplicates", near_duplicates), ("mixing", mixed), ("encoding", encoded)]
+#: Language models, MinHash candidates and hash-random keys have no SQL counterpart;
+#: tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
