@@ -8,32 +8,41 @@ lengths up in a table of the 256 control bytes and gathers all ranks at once."""
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veilspark.llm.common import table, written
+from veilspark.llm.common import drop_written, table, written
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 #: Ids in a block of a file, about: a block ends with the document that reaches this.
 BLOCK_IDS = 1 << 21
 #: Starts of at most this many blocks are broadcast (a few MB); more are joined by shuffle.
 BROADCAST_BLOCKS = 100_000
-CACHED_PIECES = 400_000
+CACHED_PIECES = 1_200_000
 MAGIC = b"VBYTE01\n"
 #: A space after anything but white space: a match of the vocabulary's pre-split
 #: pattern always begins there, so pieces between such places encode on their own.
 BOUNDARY = re.compile(r"(?<=\S)(?= )")
-NOT_PLAIN = re.compile(r"\s ")
+#: White space before a space: texts with it are cut by BOUNDARY, others at every space.
+ODD = "[\\t-\\r\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
 #: Pieces that stand alone between separators: the pre-split pattern makes one match
 #: of the separator after anything but white space and before one space or none.
 SEPARATOR, PLAIN = "\r", re.compile(r" ?[^\s](?:[^\r]*[^\s])?")
+#: Pieces that can be cut further: Latin letters, signs other than the apostrophe,
+#: digits and lone newlines, with a space at most in front. One kind never shares a
+#: match of the pattern with the next.
+_LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
+CUTTABLE = re.compile(rf"(?: (?!\n))?(?:[{_LETTERS}]+|[{_SIGNS}]+|[0-9]+|\n(?!\n))*")
+ATOM = re.compile(rf" ?[{_LETTERS}]+| ?[{_SIGNS}]+| ?[0-9]+|\n")
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
@@ -46,67 +55,142 @@ def tokenizer(vocabulary: str) -> Tokenizer:
 
 
 class Encoder:
-    """Encodes texts with the library, each distinct piece once."""
+    """Encodes texts with the library, each distinct atom once while it is remembered.
+
+    A text is cut before spaces into pieces, and a piece that is not remembered into
+    atoms: runs of letters, of signs or of digits with at most one space before them,
+    and newlines. All cuts are at places where the pre-split pattern always ends a
+    match. `spaced` holds ids of what begins with a space (named without it), `bare`
+    those of the rest. Together they are bounded; what does not fit is encoded each time."""
 
     def __init__(self, vocabulary: str) -> None:
         self.library = tokenizer(vocabulary)
-        self.known: dict[str, bytes] = {}
+        self.width = width_of(vocabulary)
+        self.spaced: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
         (self.separator,) = self.library.encode(SEPARATOR, add_special_tokens=False).ids
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        if NOT_PLAIN.search(text):
-            return BOUNDARY.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        new = list({p for pieces in cut for p in pieces if p not in self.known})
-        if len(self.known) + len(new) > CACHED_PIECES:
-            self.known.clear()
-            new = list({p for pieces in cut for p in pieces})
-        plain = [p for p in new if PLAIN.fullmatch(p)]
+    def atoms(self, wanted: list[str]) -> list[bytes]:
+        """Ids of each atom: many of them at once between separators, the others alone."""
+        found = dict.fromkeys(wanted, b"")
+        plain = [p for p in wanted if PLAIN.fullmatch(p)]
         for at in range(0, len(plain), 2048):
             part = plain[at : at + 2048]
-            ids = np.array(self.library.encode(SEPARATOR.join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.library.encode(SEPARATOR.join(part), add_special_tokens=False).ids, self.width)
             ends = [*np.flatnonzero(ids == self.separator).tolist(), len(ids)]
             if len(ends) != len(part):
                 raise ValueError("the vocabulary does not keep the separator apart")
-            raw, a = ids.tobytes(), 0
+            raw, a, w = ids.tobytes(), 0, self.width.itemsize
             for p, b in zip(part, ends, strict=True):
-                self.known[p] = raw[4 * a : 4 * b]
+                found[p] = raw[w * a : w * b]
                 a = b + 1
-        for p in set(new) - set(plain):
-            self.known[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        find = self.known.__getitem__
-        return [b"".join(map(find, pieces)) for pieces in cut]
+        if len(plain) < len(wanted):
+            for p in set(wanted).difference(plain):
+                found[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, self.width).tobytes()
+        return [found[p] for p in wanted]
+
+    def learn(self, spaced: list[str], bare: list[str]) -> None:
+        """Remember the ids of these pieces, the first ones named without their space."""
+        if len(self.spaced) + len(self.bare) > CACHED_PIECES:  # begin anew
+            self.spaced, self.bare = {}, {}
+        new = [(w, " " + w, self.spaced) for w in spaced if w not in self.spaced] + [(w, w, self.bare) for w in bare if w not in self.bare]
+        if not new:
+            return
+        parts, alone = [], {}
+        for word, piece, into in new:
+            if word.isalpha() or not CUTTABLE.fullmatch(piece) or len(found := ATOM.findall(piece)) < 2:
+                alone[piece] = (word, into)
+            else:
+                parts.append((word, into, found))
+                for x in found:
+                    if x[0] == " ":
+                        if x[1:] not in self.spaced:
+                            alone[x] = (x[1:], self.spaced)
+                    elif x not in self.bare:
+                        alone[x] = (x, self.bare)
+        for (word, into), ids in zip(alone.values(), self.atoms(list(alone)), strict=True):
+            into[word] = ids
+        for word, into, found in parts:
+            into[word] = b"".join([self.spaced[x[1:]] if x[0] == " " else self.bare[x] for x in found])
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """Ids of each text, and `end`, as little-endian unsigned integers of self.width."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        if odd.any():
+            out: list[bytes | None] = self.together(pc.if_else(pa.array(odd), "", texts), end).to_pylist()
+            for i in np.flatnonzero(odd).tolist():
+                first, *rest = BOUNDARY.split(texts[i].as_py())
+                first, rest = ("", [first[1:], *[x[1:] for x in rest]]) if first[:1] == " " else (first, [x[1:] for x in rest])
+                self.learn(list(set(rest)), [first])
+                out[i] = self.bare[first] + b"".join([self.spaced[x] for x in rest]) + end
+            return pa.array(out, pa.binary())
+        return self.together(texts, end)
+
+    def together(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """The same for texts in which every space begins a piece: distinct pieces are
+        found and put together again by Arrow and numpy, not one by one."""
+        lists = pc.split_pattern(texts, " ")
+        starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        heads = pc.list_element(lists, 0).to_pylist()
+        coded = lists.flatten().dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        seen = np.ones(len(at), bool)
+        seen[starts[:-1]] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[at[seen]] = True
+        words = coded.dictionary.filter(pa.array(used)).to_pylist()
+        place = np.cumsum(used) - 1
+        self.learn(words, list(set(heads)))
+        values = [*map(self.spaced.__getitem__, words), *map(self.bare.__getitem__, heads), end]
+        index = place[at]
+        index[starts[:-1]] = len(words) + np.arange(len(heads))
+        index = np.insert(index, starts[1:], len(values) - 1)  # the end id after each text
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.width.itemsize
+        flat = np.frombuffer(b"".join(values), self.width)
+        n = sizes[index]
+        ends = np.cumsum(n)
+        source = np.repeat((np.cumsum(sizes) - sizes)[index] - ends + n, n)
+        source += np.arange(len(source))
+        offsets = np.concatenate([[0], ends[starts[1:] + np.arange(len(heads))]]) * self.width.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat[source])])
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(vocabulary: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(vocabulary)
+
+
+def width_of(vocabulary: str) -> np.dtype:
+    return np.dtype("<u2" if tokenizer(vocabulary).get_vocab_size() <= 1 << 16 else "<u4")
 
 
 def encode_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, n): ids with the end id, as little-endian unsigned 32-bit integers."""
-    end = np.array([end_id], "<u4").tobytes()
+    """(id, ids, n): ids with the end id, little-endian, in 16 bits if the vocabulary allows, else in 32."""
+    width = width_of(vocabulary)
+    end = np.array([end_id], width).tobytes()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         for batch in it:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [x + end for x in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["id", "ids", "n"])
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                ids = encoder.encode(part.column(1), end)
+                n = pc.divide(pc.binary_length(ids), width.itemsize).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, n], names=["id", "ids", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(batches, f"id {kind}, ids binary, n long")
 
 
-def frequencies(encoded: DataFrame) -> DataFrame:
+def frequencies(encoded: DataFrame, width: np.dtype) -> DataFrame:
     """(token, n): how often each id occurs; at most a row for each id of the vocabulary."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in it:
-            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
+            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), width))
             if len(n) > len(total):
                 total, n = n, total
             total[: len(n)] += n
@@ -135,11 +219,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return (raw[at] | raw[at + 1] << 8 | raw[at + 2] << 16 | raw[at + 3] << 24) & MASKS[size]
 
 
-def block(ids: list[bytes], rank: np.ndarray) -> bytes:
+def block(ids: list[bytes], width: np.dtype, rank: np.ndarray) -> bytes:
     """One block: magic, number of documents and of ids, ids of each document, control bytes, data bytes."""
-    values = np.frombuffer(b"".join(ids), "<u4")
+    values = np.frombuffer(b"".join(ids), width)
     control, data = pack(rank[values])
-    return MAGIC + np.array([len(ids), len(values)], "<u8").tobytes() + np.array([len(x) // 4 for x in ids], "<u4").tobytes() + control + data
+    return MAGIC + np.array([len(ids), len(values)], "<u8").tobytes() + np.array([len(x) // width.itemsize for x in ids], "<u4").tobytes() + control + data
 
 
 def unblock(raw: bytes, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +246,9 @@ def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_I
     The ranks are a list as long as the vocabulary. Defined cases: null texts are
     empty (only the end id); null document ids come first; rows with equal ids stand
     in the order of their tokens; other columns are ignored."""
+    width = width_of(vocabulary)
     encoded = written(encode_ids(docs, vocabulary, end_id, id_col, text_col), "ids")
-    counted = frequencies(encoded).collect()  # bounded by the vocabulary
+    counted = frequencies(encoded, width).collect()  # bounded by the vocabulary
     by_rank = [r["token"] for r in sorted(counted, key=lambda r: (-r["n"], r["token"]))]
     rank = np.zeros(max(by_rank, default=0) + 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -176,7 +261,7 @@ def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_I
         held, keys, size, part, seq = [], [], 0, 0, 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([keys], pa.list_(key_type)), pa.array([size], pa.int64()), pa.array([block(held, shared.value)], pa.binary())], names=["part", "seq", "doc_ids", "n_ids", "block"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([keys], pa.list_(key_type)), pa.array([size], pa.int64()), pa.array([block(held, width, shared.value)], pa.binary())], names=["part", "seq", "doc_ids", "n_ids", "block"])
 
         for batch in it:
             key_type = batch.schema.field(0).type
@@ -192,7 +277,9 @@ def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_I
 
     ordered = encoded.repartitionByRange(parts, F.col("id").asc_nulls_first(), F.xxhash64("ids")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("ids"))
     made = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(blocks, f"part int, seq int, doc_ids array<{kind}>, n_ids long, block binary")
-    return written(made, "blocks"), by_rank
+    blocks_table = written(made, "blocks")
+    drop_written(encoded)
+    return blocks_table, by_rank
 
 
 def read_ids(blocks: DataFrame, by_rank: list[int], id_col: str = "doc_id") -> DataFrame:
