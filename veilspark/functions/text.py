@@ -49,21 +49,29 @@ def pii_hits(text: Column) -> Column:
     return F.filter(F.array(*each), lambda s: s["matched_text"] != "")
 
 
-def mask_value(text: Column, reveal: Column, template: Column) -> Column:
-    """A partial mask, or null wherever a mask could reveal too much.
+def mask_spec(reveal: Column, template: Column) -> Column:
+    """struct<side, shown, place> of a partial spec, or null if it could reveal too much.
 
     reveal is 'firstN' or 'lastN'; the template has exactly one placeholder, of the
-    same side and number, and besides it no letter or digit but X. At least
-    MIN_HIDDEN + 1 characters stay hidden."""
-    raw = strip(text)
-    side = F.regexp_extract(F.lower(reveal), r"^(first|last)(\d+)$", 1)
-    count = F.regexp_extract(F.lower(reveal), r"^(first|last)(\d{1,9})$", 2).try_cast("int")
-    places = F.regexp_count(template, F.lit(r"\{[^{}]*\}"))
-    wanted = F.concat(F.lit("{"), side, count.cast("string"), F.lit("}"))
+    same side and number, and besides it no letter or digit but X."""
+    side = F.regexp_extract(F.lower(reveal), r"^(first|last)(\d{1,9})$", 1)
+    shown = F.regexp_extract(F.lower(reveal), r"^(first|last)(\d{1,9})$", 2).try_cast("int")
+    place = F.concat(F.lit("{"), side, shown.cast("string"), F.lit("}"))
+    one = F.regexp_count(template, F.lit(r"\{[^{}]*\}")) == 1
     rest = F.regexp_replace(template, r"\{[^{}]*\}", "")
-    shown = F.when(side == "last", F.right(raw, count)).otherwise(F.left(raw, count))
-    valid = (raw != "") & (count > 0) & (F.length(raw) > count + MIN_HIDDEN) & (places == 1) & template.contains(wanted) & ~rest.rlike("[A-WYZa-wyz0-9]")
-    return F.when(F.coalesce(valid, F.lit(False)), F.replace(template, wanted, shown))
+    return F.when((shown > 0) & one & template.contains(place) & ~rest.rlike("[A-WYZa-wyz0-9]"), F.struct(side.alias("side"), shown.alias("shown"), place.alias("place")))
+
+
+def masked(text: Column, spec: Column, template: Column) -> Column:
+    """The mask of a value by a spec; null if fewer than MIN_HIDDEN + 1 characters would stay hidden."""
+    raw = strip(text)
+    part = F.when(spec["side"] == "last", F.right(raw, spec["shown"])).otherwise(F.left(raw, spec["shown"]))
+    return F.when(F.length(raw) > spec["shown"] + MIN_HIDDEN, F.replace(template, spec["place"], part))
+
+
+def mask_value(text: Column, reveal: Column, template: Column) -> Column:
+    """A partial mask, or null wherever a mask could reveal too much."""
+    return masked(text, mask_spec(reveal, template), template)
 
 
 def match_type(token: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import matches
-from veilspark.operators.nets import context_hits, pattern_hits, pii_ids
 from veilspark.schema import REPAIR_AMOUNT, REPAIR_NAME
 
 
@@ -26,23 +25,14 @@ def reconcile(frags: DataFrame, claims: DataFrame) -> DataFrame:
     return joined.select("doc_id", "purpose", "frag_id", outcome.alias("outcome"), F.col("rank").isNull().alias("unfilled"))
 
 
-def net_hits(frags: DataFrame) -> DataFrame:
-    """(doc_id, frag_id, pattern, matched_text, context) of the first hit of each net on
-    each fragment: patterns in their order, then the context net. frags needs line_no."""
-    one = pattern_hits(frags).groupBy("doc_id", "frag_id").agg(F.min(F.struct("rank", "pattern", "matched_text")).alias("m")).select("doc_id", "frag_id", "m.pattern", "m.matched_text", F.lit(False).alias("context"))
-    two = context_hits(frags).select("doc_id", "frag_id", "pattern", "matched_text", F.lit(True).alias("context")).distinct()
-    return one.union(two)
+def apply_nets(decided: DataFrame) -> DataFrame:
+    """Adds pattern and matched_text of the net that overrides an outcome, and redacts.
 
-
-def apply_nets(decided: DataFrame, hits: DataFrame) -> DataFrame:
-    """Adds pattern and matched_text of the first net that overrides, and redacts.
-
-    The pattern net leaves partial fragments alone, the context net does not; neither
-    looks at what is redacted already."""
-    nets = hits.groupBy(F.col("doc_id").alias("_d"), F.col("frag_id").alias("_f")).agg(F.max(F.when(~F.col("context"), F.struct("pattern", "matched_text"))).alias("_one"), F.max(F.when(F.col("context"), F.struct("pattern", "matched_text"))).alias("_two"))
-    joined = decided.join(nets, (F.col("doc_id") == F.col("_d")) & (F.col("frag_id") == F.col("_f")), "left")
-    hit = F.when(F.col("outcome") == "keep", F.coalesce("_one", "_two")).when(F.col("outcome") == "partial", F.col("_two"))
-    marked = joined.withColumn("_hit", hit)
+    decided carries net_one and net_two (see nets.with_nets). The pattern net leaves
+    partial fragments alone, the context net does not; neither looks at what is
+    redacted already."""
+    hit = F.when(F.col("outcome") == "keep", F.coalesce("net_one", "net_two")).when(F.col("outcome") == "partial", F.col("net_two"))
+    marked = decided.withColumn("_hit", hit)
     return marked.select(*[c for c in decided.columns if c != "outcome"], F.when(F.col("_hit").isNotNull(), "redact").otherwise(F.col("outcome")).alias("outcome"), F.col("_hit.pattern").alias("pattern"), F.col("_hit.matched_text").alias("matched_text"))
 
 
@@ -63,17 +53,15 @@ def apply_audit(decided: DataFrame, flags: DataFrame) -> DataFrame:
     return joined.select(*[c for c in decided.columns if c != "outcome"], F.when(F.col("_f").isNotNull(), "redact").otherwise(F.col("outcome")).alias("outcome"), F.col("_f").isNotNull().alias("audited"))
 
 
-def repair(decided: DataFrame, wide: DataFrame) -> DataFrame:
+def repair(decided: DataFrame) -> DataFrame:
     """Re-keeps amounts on salary rows and name words on holder rows under
     proof_of_income: adds repaired. Never what a net hits, and never on a row that
-    names a relative. wide: fragments with their rows' evidence and line_no."""
-    rows = wide.where(~F.col("row_third_party") & (F.col("row_salary") | F.col("row_holder")))
+    names a relative. decided carries the rows' evidence and the nets' columns."""
     amount = F.col("row_salary") & matches(F.col("text"), REPAIR_AMOUNT)
     named = F.col("row_holder") & F.col("text").rlike(REPAIR_NAME) & (F.length("text") > 1)
-    worth = rows.where(amount | named).select("doc_id", "frag_id").join(pii_ids(wide), ["doc_id", "frag_id"], "left_anti").select(F.col("doc_id").alias("_d"), F.col("frag_id").alias("_f"))
-    joined = decided.join(worth, (F.col("doc_id") == F.col("_d")) & (F.col("frag_id") == F.col("_f")), "left")
-    fixed = F.col("_f").isNotNull() & (F.col("purpose") == "proof_of_income") & (F.col("outcome") == "redact")
-    return joined.withColumn("_fixed", fixed).select(*[c for c in decided.columns if c != "outcome"], F.when(F.col("_fixed"), "keep").otherwise(F.col("outcome")).alias("outcome"), F.col("_fixed").alias("repaired"))
+    worth = ~F.col("row_third_party") & (amount | named) & F.col("net_one").isNull() & F.col("net_two").isNull()
+    fixed = worth & (F.col("purpose") == "proof_of_income") & (F.col("outcome") == "redact")
+    return decided.withColumn("_fixed", fixed).select(*[c for c in decided.columns if c != "outcome"], F.when(F.col("_fixed"), "keep").otherwise(F.col("outcome")).alias("outcome"), F.col("_fixed").alias("repaired"))
 
 
 def fail_closed(frags: DataFrame, purposes: DataFrame) -> DataFrame:

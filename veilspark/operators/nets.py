@@ -30,6 +30,19 @@ def context_hits(frags: DataFrame) -> DataFrame:
     return dates.join(regions, (F.col("doc_id") == F.col("_d")) & (F.col("line_no") == F.col("_l"))).drop("_d", "_l").withColumn("pattern", F.lit("date_of_birth"))
 
 
+def with_nets(frags: DataFrame) -> DataFrame:
+    """Adds net_one, the first pattern that a fragment matches, and net_two, the birth
+    date that the context net finds in it: structs of pattern and matched_text, or null.
+
+    The first is an expression; only fragments in the region of a birth anchor meet a
+    table, of the few anchored lines."""
+    one = F.get(pii_hits(F.col("text")), F.lit(0))
+    dates = context_hits(frags).groupBy(F.col("doc_id").alias("_nd"), F.col("frag_id").alias("_nf")).agg(F.max("matched_text").alias("_date"))
+    joined = frags.join(dates, (F.col("doc_id") == F.col("_nd")) & (F.col("frag_id") == F.col("_nf")), "left").drop("_nd", "_nf")
+    two = F.when(F.col("_date").isNotNull(), F.struct(F.lit("date_of_birth").alias("pattern"), F.col("_date").alias("matched_text")))
+    return joined.withColumn("net_one", F.when(one.isNotNull(), F.struct(one["pattern"].alias("pattern"), one["matched_text"].alias("matched_text")))).withColumn("net_two", two).drop("_date")
+
+
 def pii_ids(frags: DataFrame) -> DataFrame:
     """(doc_id, frag_id) of every fragment that either net hits."""
     return pattern_hits(frags).select("doc_id", "frag_id").union(context_hits(frags).select("doc_id", "frag_id")).distinct()

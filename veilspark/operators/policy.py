@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.text import mask_value
+from veilspark.functions.text import mask_spec, masked
 
 
 def apply_policy(labelled: DataFrame, rules: DataFrame) -> DataFrame:
@@ -17,8 +17,8 @@ def apply_policy(labelled: DataFrame, rules: DataFrame) -> DataFrame:
     a few rows for each purpose and are broadcast."""
     purposes = rules.select("purpose").distinct()
     fanned = labelled.crossJoin(F.broadcast(purposes))
-    known = F.broadcast(rules.withColumnsRenamed({"purpose": "_p", "ftype": "_t", "outcome": "_o", "critical": "_c"}))
+    known = F.broadcast(rules.withColumn("_spec", mask_spec(F.col("reveal"), F.col("format"))).withColumnsRenamed({"purpose": "_p", "ftype": "_t", "outcome": "_o", "critical": "_c"}))
     joined = fanned.join(known, (F.col("purpose") == F.col("_p")) & (F.col("ftype") == F.col("_t")), "left")
-    mask = F.when(F.col("_o") == "partial", mask_value(F.col("text"), F.col("reveal"), F.col("format")))
+    mask = F.when(F.col("_o") == "partial", masked(F.col("text"), F.col("_spec"), F.col("format")))
     outcome = F.when((F.col("_o") == "partial") & F.col("_mask").isNull(), "redact").otherwise(F.coalesce("_o", F.lit("redact")))
     return joined.withColumn("_mask", mask).select(*labelled.columns, "purpose", outcome.alias("outcome"), F.coalesce("_c", F.lit(False)).alias("critical"), F.col("_mask").alias("mask"), ((F.col("_o") == "partial") & F.col("_mask").isNull()).alias("unmaskable"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def materialized(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="veilspark-")
+        folder = tempfile.mkdtemp(prefix="veilspark-")  # a single machine: no cluster is without that setting
+        atexit.register(shutil.rmtree, folder, True)
+        where = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/veilspark-table-{uuid.uuid4().hex}"
     df.write.parquet(path)
