@@ -306,3 +306,18 @@ def keep_one(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id",
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_classes(table(spark, sf_dir, "documents"))
+
+
+#: Brute force over an inverted index of all shingles.
+ORACLE = """
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+sets AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM shared JOIN sizes m ON m.doc_id = u JOIN sizes n ON n.doc_id = v WHERE 5 * c >= 4 * (m.n + n.n - c)),
+ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT u, v FROM ways UNION SELECT r.u, b.v FROM reach r JOIN ways b ON r.v = b.u),
+lowest AS (SELECT u, min(v) AS v FROM reach GROUP BY u),
+counts AS (SELECT u, count(*) AS n FROM ways GROUP BY u)
+SELECT doc_id, least(doc_id, coalesce(l.v, doc_id)) AS class_id, coalesce(c.n, 0)::BIGINT AS n_links FROM documents LEFT JOIN lowest l ON l.u = doc_id LEFT JOIN counts c ON c.u = doc_id
+"""

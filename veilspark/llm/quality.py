@@ -144,3 +144,38 @@ def judge(docs: DataFrame, most_chars: float = MOST_CHARS, most_words: float = M
 def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"))
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql_list(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_HALF = "CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / (p + q)) ELSE 0 END"
+ORACLE = f"""
+WITH texts AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+runs AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM texts WHERE len(ws) > {WINDOW})),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n FROM runs) WHERE n > 1),
+covered AS (SELECT doc_id, sum(least({WINDOW}, i - before)) AS n_repeat_words FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -{WINDOW}) AS before FROM again) GROUP BY doc_id),
+base AS (
+  SELECT t.doc_id, lang, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '{SYMBOLS}'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, length(text) AS chars,
+    {", ".join(f"len(regexp_extract_all(text, '{c.replace(chr(39), chr(39) * 2)}')) AS {k}" for k, c in CLASSES.items())}
+  FROM texts t LEFT JOIN dups USING (doc_id) LEFT JOIN covered USING (doc_id)),
+char_bins AS (
+  {" UNION ALL ".join(f"SELECT doc_id, lang, '{k}' AS bin, {k} AS n FROM base" for k in (*CLASSES, "n_symbols"))}
+  UNION ALL SELECT doc_id, lang, 'space', chars - word_chars FROM base UNION ALL SELECT doc_id, lang, 'rest', word_chars - n_symbols - {" - ".join(CLASSES)} FROM base),
+hits AS (SELECT doc_id, w AS bin, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM texts) WHERE w IN ({_sql_list(WORDS)}) GROUP BY ALL),
+words AS (SELECT unnest([{_sql_list(WORDS)}]) AS bin),
+word_bins AS (
+  SELECT b.doc_id, b.lang, w.bin, coalesce(h.n, 0) AS n FROM base b CROSS JOIN words w LEFT JOIN hits h ON h.doc_id = b.doc_id AND h.bin = w.bin
+  UNION ALL SELECT b.doc_id, b.lang, '', b.n_words - coalesce((SELECT sum(n) FROM hits h WHERE h.doc_id = b.doc_id), 0) FROM base b),
+bins AS (SELECT 'chars' AS kind, * FROM char_bins UNION ALL SELECT 'words', * FROM word_bins),
+shares AS (SELECT kind, doc_id, lang, bin, CASE WHEN sum(n) OVER d > 0 THEN n / sum(n) OVER d ELSE 0 END AS p, sum(n) OVER (PARTITION BY kind, lang, bin) / sum(n) OVER (PARTITION BY kind, lang) AS q FROM bins WINDOW d AS (PARTITION BY kind, doc_id)),
+far AS (SELECT doc_id, kind, sqrt(greatest(sum(({_HALF.format(x="p")} + {_HALF.format(x="q")}) / 2), 0)) AS distance FROM shares GROUP BY doc_id, kind),
+judged AS (SELECT b.*, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, c.distance AS chars_distance, w.distance AS words_distance FROM base b JOIN far c ON c.doc_id = b.doc_id AND c.kind = 'chars' JOIN far w ON w.doc_id = b.doc_id AND w.kind = 'words')
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT ((n_words >= {GUARD_CHARS} AND chars_distance > {MOST_CHARS}) OR (n_words >= {GUARD_WORDS} AND words_distance > {MOST_WORDS})) AS kept
+FROM judged
+"""

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.llm.binary import op9_token_ids
 from veilspark.llm.bpe import op4_bpe
+from veilspark.llm.jaccard import ORACLE as JACCARD_SQL
 from veilspark.llm.jaccard import op2_jaccard
 from veilspark.llm.langid import op7_langid
 from veilspark.llm.mixing import op5_mixing
 from veilspark.llm.mjpeg import op10_avi_mjpeg
+from veilspark.llm.quality import ORACLE as DIVERGENCE_SQL
 from veilspark.llm.quality import op3_divergence
 from veilspark.llm.sharding import op6_sharding
 from veilspark.llm.toxicity import op8_toxicity
@@ -32,4 +34,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_host_reputation": HOST_REPUTATION_SQL,
+    "op2_jaccard": JACCARD_SQL,
+    "op3_divergence": DIVERGENCE_SQL,
 }
