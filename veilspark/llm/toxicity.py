@@ -26,7 +26,7 @@ SAMPLE_ROWS = 20_000
 #: Letters of the word beginnings that may become terms, and of words that may be misspelled.
 PREFIX_LETTERS, FUZZY_LETTERS = (4, 7), 5
 #: A term: in this share of toxic rows and this many, so much likelier there, at this significance (G2).
-MIN_SHARE, MIN_ROWS, MIN_RATIO, MIN_G2 = 0.01, 3, 8.0, 25.0
+MIN_SHARE, MIN_ROWS, MIN_RATIO, MIN_G2 = 0.01, 3, 25.0, 25.0
 MOST_WEIGHT = 6.0
 #: How much a quoted hit counts, without and with a word of reporting nearby.
 QUOTED, REPORTED = 0.6, 0.4
