@@ -20,22 +20,24 @@ def components(edges: DataFrame) -> DataFrame:
     component, whose name the component bears.
 
     Every step is an aggregation with partial sums and a join whose skewed
-    partitions Spark can split; a hub with very many neighbours is never gathered
-    in one task. Each round is written to the shared folder, which cuts the lineage."""
+    partitions Spark can split, for which the aggregate is written first: else the
+    join would sit on the aggregate's dealing. So a hub with very many neighbours is
+    never gathered in one task. Each round is written, which cuts the lineage."""
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     sign = _sign(e)
     for _ in range(MOST_ROUNDS):
         if not sign[0]:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")).select("x", F.least("x", "m").alias("m"))
+        low = written(both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")).select("x", F.least("x", "m").alias("m")), "low")
         large = both.join(low, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "large")
-        low = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+        lows = [low, written(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")), "low")]
+        low = lows[1]
         small = large.join(low, F.col("u") == F.col("x")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct()
         new = written(small, "edges")
-        drop_written(large)
-        drop_written(e)
+        for done in (large, e, *lows):
+            drop_written(done)
         e, before, sign = new, sign, _sign(new)
         if sign == before:
             break

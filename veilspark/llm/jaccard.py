@@ -144,7 +144,7 @@ def candidate_edges(classes: DataFrame, s: Settings) -> DataFrame:
     rows = written(band_rows(classes, s), "bands")
     near = rows.where("centre IS NOT NULL").select(F.col("node").alias("u"), F.col("centre").alias("v"))
     firsts = rows.where("centre IS NULL").select("band", "node")
-    shared = firsts.groupBy(F.col("band").alias("_band")).agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
+    shared = written(firsts.groupBy(F.col("band").alias("_band")).agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("_band", "v"), "shared")
     far = firsts.join(shared, F.col("band") == F.col("_band")).select(F.col("node").alias("u"), "v")  # a hot band's rows can be split over tasks
     return near.union(far)
 
