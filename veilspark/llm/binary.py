@@ -27,7 +27,7 @@ VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 BLOCK_IDS = 1 << 21
 #: Starts of at most this many blocks are broadcast (a few MB); more are joined by shuffle.
 BROADCAST_BLOCKS = 100_000
-CACHED_PIECES = 1_200_000
+CACHED_PIECES = 850_000
 MAGIC = b"VBYTE01\n"
 #: A space after anything but white space: a match of the vocabulary's pre-split
 #: pattern always begins there, so pieces between such places encode on their own.
@@ -43,6 +43,8 @@ SEPARATOR, PLAIN = "\r", re.compile(r" ?[^\s](?:[^\r]*[^\s])?")
 _LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
 CUTTABLE = re.compile(rf"(?: (?!\n))?(?:[{_LETTERS}]+|[{_SIGNS}]+|[0-9]+|\n(?!\n))*")
 ATOM = re.compile(rf" ?[{_LETTERS}]+| ?[{_SIGNS}]+| ?[0-9]+|\n")
+#: Signs that end a word and that no match shares with the letters before them.
+STOPS = tuple(".,;:!?)")
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
@@ -70,48 +72,59 @@ class Encoder:
         self.bare: dict[str, bytes] = {}
         (self.separator,) = self.library.encode(SEPARATOR, add_special_tokens=False).ids
 
-    def atoms(self, wanted: list[str]) -> list[bytes]:
-        """Ids of each atom: many of them at once between separators, the others alone."""
-        found = dict.fromkeys(wanted, b"")
-        plain = [p for p in wanted if PLAIN.fullmatch(p)]
-        for at in range(0, len(plain), 2048):
-            part = plain[at : at + 2048]
-            ids = np.array(self.library.encode(SEPARATOR.join(part), add_special_tokens=False).ids, self.width)
-            ends = [*np.flatnonzero(ids == self.separator).tolist(), len(ids)]
+    def apart(self, pieces: list[str], before: str = "") -> list[bytes]:
+        """Ids of each piece with `before` in front, many at once between separators.
+        The pieces must be PLAIN."""
+        found: list[bytes] = []
+        w = self.width.itemsize
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
+            joined = before + (SEPARATOR + before).join(part)
+            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.width)
+            ends = [*(np.flatnonzero(ids == self.separator) * w).tolist(), len(ids) * w]
             if len(ends) != len(part):
                 raise ValueError("the vocabulary does not keep the separator apart")
-            raw, a, w = ids.tobytes(), 0, self.width.itemsize
-            for p, b in zip(part, ends, strict=True):
-                found[p] = raw[w * a : w * b]
-                a = b + 1
-        if len(plain) < len(wanted):
-            for p in set(wanted).difference(plain):
-                found[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, self.width).tobytes()
-        return [found[p] for p in wanted]
+            raw = ids.tobytes()
+            found += [raw[a:b] for a, b in zip([0, *[x + w for x in ends[:-1]]], ends, strict=True)]
+        return found
+
+    def alone(self, piece: str) -> bytes:
+        return np.array(self.library.encode(piece, add_special_tokens=False).ids, self.width).tobytes()
 
     def learn(self, spaced: list[str], bare: list[str]) -> None:
         """Remember the ids of these pieces, the first ones named without their space."""
         if len(self.spaced) + len(self.bare) > CACHED_PIECES:  # begin anew
             self.spaced, self.bare = {}, {}
-        new = [(w, " " + w, self.spaced) for w in spaced if w not in self.spaced] + [(w, w, self.bare) for w in bare if w not in self.bare]
-        if not new:
-            return
-        parts, alone = [], {}
-        for word, piece, into in new:
-            if word.isalpha() or not CUTTABLE.fullmatch(piece) or len(found := ATOM.findall(piece)) < 2:
-                alone[piece] = (word, into)
+        known, heads = self.spaced, self.bare
+        new = [w for w in spaced if w not in known]
+        letters = {w for w in new if w.isalpha()}
+        ended, parts = [], []  # letters and one sign; what has more atoms
+        rest = [(w, True) for w in new if w not in letters] + [(w, False) for w in bare if w not in heads]
+        signs: set[str] = set()
+        for w, after_space in rest:
+            if after_space and w[-1:] in STOPS and (base := w[:-1]).isalpha():
+                ended.append((w, base, w[-1]))
+                signs.add(w[-1])
+                if base not in known:
+                    letters.add(base)
+            else:
+                piece = " " + w if after_space else w
+                parts.append((w, known if after_space else heads, CUTTABLE.fullmatch(piece) and ATOM.findall(piece) or [piece]))
+        atoms = {x for _, _, found in parts for x in found}
+        letters |= {x[1:] for x in atoms if x[0:1] == " " and x[1:].isalpha() and x[1:] not in known}
+        words = list(letters)
+        known.update(zip(words, self.apart(words, " "), strict=True))
+        left = [x for x in atoms | signs if (x[1:] not in known if x[0:1] == " " else x not in heads)]
+        plain = [x for x in left if PLAIN.fullmatch(x)]
+        ids = dict(zip(plain, self.apart(plain), strict=True)) | {x: self.alone(x) for x in set(left).difference(plain)}
+        for x, value in ids.items():
+            if x[0:1] == " ":
+                known[x[1:]] = value
             else:
-                parts.append((word, into, found))
-                for x in found:
-                    if x[0] == " ":
-                        if x[1:] not in self.spaced:
-                            alone[x] = (x[1:], self.spaced)
-                    elif x not in self.bare:
-                        alone[x] = (x, self.bare)
-        for (word, into), ids in zip(alone.values(), self.atoms(list(alone)), strict=True):
-            into[word] = ids
-        for word, into, found in parts:
-            into[word] = b"".join([self.spaced[x[1:]] if x[0] == " " else self.bare[x] for x in found])
+                heads[x] = value
+        known.update([(w, known[base] + heads[sign]) for w, base, sign in ended])
+        for w, into, found in parts:
+            into[w] = b"".join([known[x[1:]] if x[0:1] == " " else heads[x] for x in found])
 
     def encode(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
         """Ids of each text, and `end`, as little-endian unsigned integers of self.width."""
@@ -139,7 +152,7 @@ class Encoder:
         seen[starts[:-1]] = False
         used = np.zeros(len(coded.dictionary), bool)
         used[at[seen]] = True
-        words = coded.dictionary.filter(pa.array(used)).to_pylist()
+        words = coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist()
         place = np.cumsum(used) - 1
         self.learn(words, list(set(heads)))
         values = [*map(self.spaced.__getitem__, words), *map(self.bare.__getitem__, heads), end]
