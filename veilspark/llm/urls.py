@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import table
+from veilspark.llm.common import table, written
 
 #: (verdict, rule): the rules of the query; a rule is a host and the start of a path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -80,8 +80,8 @@ def reputations(hosts: DataFrame, threshold: float = THRESHOLD, z: float = Z) ->
     domains = named.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     whole = suffixes.agg(((F.sum("s") + 1) / (F.sum("n") + 2)).alias("m"))  # one row
-    top = shrunk(suffixes.crossJoin(F.broadcast(whole))).select(F.col("suffix").alias("_s"), F.col("mean").alias("m"))
-    middle = shrunk(domains.join(top, F.col("suffix") == F.col("_s"))).select(F.col("domain").alias("_d"), F.col("mean").alias("m"))
+    top = written(shrunk(suffixes.crossJoin(F.broadcast(whole))).select(F.col("suffix").alias("_s"), F.col("mean").alias("m")), "suffixes")
+    middle = written(shrunk(domains.join(top, F.col("suffix") == F.col("_s"))).select(F.col("domain").alias("_d"), F.col("mean").alias("m")), "domains")
     low = shrunk(named.join(middle, F.col("domain") == F.col("_d")))
     bound = F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("kappa") + 1))
     return low.select("host", "n", "mean", bound.alias("bound"), (bound >= threshold).alias("reputable"))
@@ -102,9 +102,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], .
     read = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     known = outcomes.where("good IS NOT NULL AND id IS NOT NULL").groupBy(F.col("id").alias("_id")).agg(F.min("good").alias("good"))
     labelled = read.join(known, F.col("id") == F.col("_id"), "left")
-    hosts = labelled.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("s"))
+    hosts = written(labelled.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("s")), "hosts")  # pages are summed once, for all levels
     known_hosts = reputations(hosts, threshold, z).select(F.col("host").alias("_host"), "n", "bound", "reputable")
-    many = read.select("host").distinct().count() > BROADCAST_HOSTS
+    many = hosts.count() > BROADCAST_HOSTS
     rule, said = matching_rule(F.col("host"), F.col("path"), rules)
     judged = read.join(known_hosts if many else F.broadcast(known_hosts), F.col("host") == F.col("_host"))
     return judged.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(said, F.when(F.col("reputable"), "allow").otherwise("block")).alias("verdict"), F.col("n").alias("n_host"), "bound")
