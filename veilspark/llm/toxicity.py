@@ -26,7 +26,7 @@ SAMPLE_ROWS = 20_000
 #: Letters of the word beginnings that may become terms, and of words that may be misspelled.
 PREFIX_LETTERS, FUZZY_LETTERS = (4, 7), 5
 #: A term: in this share of toxic rows and this many, so much likelier there, at this significance (G2).
-MIN_SHARE, MIN_ROWS, MIN_RATIO, MIN_G2 = 0.01, 3, 25.0, 25.0
+MIN_SHARE, MIN_ROWS, MIN_RATIO, MIN_G2 = 0.02, 3, 25.0, 25.0
 MOST_WEIGHT = 6.0
 #: How much a quoted hit counts, without and with a word of reporting nearby.
 QUOTED, REPORTED = 0.6, 0.4
@@ -249,12 +249,14 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
     """Learn the lexicon, its weights, the harmless look-alikes and the score.
 
     Learns from at most sample_rows labelled rows (the first by a hash of the id);
-    what comes to the driver is bounded by that sample. Conflicting labels of an id
-    count as the largest; null labels and texts are left out. Without toxic rows the
+    what comes to the driver is bounded by that sample. Copies of a text vote once.
+    Conflicting labels of an id or a text count as the largest; null labels and texts are left out. Without toxic rows the
     lexicon is empty and every score is low."""
     known = labels.where(training & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    sample = written(docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), "toxic"), "toxic-sample")
+    drawn = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), "toxic")
+    votes = drawn.groupBy(F.xxhash64("text").alias("_h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))  # copies of a text vote once
+    sample = written(votes.select("text", "toxic"), "toxic-sample")
     model = ToxicityModel()
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     nt, nc = size.get(1, 0), size.get(0, 0)
