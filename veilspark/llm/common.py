@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     session; a temporary folder only where that is unset (local tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="veilspark-")
+        folder = tempfile.mkdtemp(prefix="veilspark-")
+        atexit.register(shutil.rmtree, folder, True)
+        where = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
