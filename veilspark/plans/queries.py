@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.replies import document_type, failed_replies, label_lines, parse_audits, parse_labels, short_ids
-from veilspark.functions.text import clean_ids, mask_value, match_type, matches, pii_hits
+from veilspark.functions.text import clean_ids, mask_value, match_type, matches, may_hit, pii_hits
 from veilspark.operators import anchors, cache, decide, verify
 from veilspark.operators.boxes import merge_boxes, redacted_text, uncovered
 from veilspark.operators.layout import median_heights, near, overlaps, row_flags, row_of, row_texts, with_lines, with_rows
@@ -423,9 +423,9 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         bad = F.lit(False)
         for p in PATTERNS.values():
             bad = bad | matches(t, p)
-        return F.when(bad, F.repeat(F.lit("█"), F.length(t))).otherwise(t)
+        return F.when(may_hit(t) & bad, F.repeat(F.lit("█"), F.length(t))).otherwise(t)
 
-    hidden = lines.where(any_hit).withColumn("text", F.array_join(F.transform(tokens, hide), " "))
+    hidden = lines.where(may_hit(F.col("line")) & any_hit).withColumn("text", F.array_join(F.transform(tokens, hide), " "))
     return hidden.where(F.col("text") != F.array_join(tokens, " ")).select("doc_id", "line_no", "text")
 
 
