@@ -263,6 +263,47 @@ def test_sharding_splits_a_group_too_large_for_a_shard(spark):
     assert sum(n for _, n in Counter(r["shard"] for r in rows if r["id"] < 90).most_common(2)) >= 75  # two shards hold 100
 
 
+def parted(rows, group):
+    where = {}
+    for r in rows:
+        where.setdefault(group(r["id"]), set()).add(r["shard"])
+    return sum(len(x) > 1 for x in where.values())
+
+
+def test_sharding_keeps_pairs_where_no_text_is_unique(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("p"), F.col("id") % 1000).alias("text"))
+    rows = sharding.shard(docs).collect()
+    check_shards(rows, 24)
+    assert parted(rows, lambda k: k % 1000) == 8  # 16 shards of 83 places: one is left in each
+    triples = docs.where("doc_id < 120").select("doc_id", F.concat(F.lit("t"), F.col("doc_id") % 40).alias("text"))
+    rows = sharding.shard(triples, 4).collect()
+    check_shards(rows, 4)
+    assert parted(rows, lambda k: k % 40) == 0
+
+
+def test_sharding_moves_more_rows_than_are_free(spark):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 980, F.col("id") % 490).otherwise(F.col("id")).alias("text").cast("string"))
+    rows = sharding.shard(docs).collect()
+    check_shards(rows, 24)
+    assert parted(rows, lambda k: k % 490 if k < 980 else k) == 0  # 16 odd shards take a unique row each
+
+
+@pytest.mark.parametrize("level", [True, False])
+def test_packing_fills_and_parts_few(level):
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        sizes = Counter(int(n) for n in rng.zipf(1.6, 40) if 1 < n < 500) or Counter([2])
+        total, shards = sum(n * c for n, c in sizes.items()), int(rng.integers(1, 9))
+        caps = [total // shards + (s < total % shards) for s in range(shards)]
+        groups, load = {}, [0] * shards
+        for n, lo, hi, s, part in sharding.pack(sizes, caps, level):
+            load[s] += (hi - lo) * part
+            for i in range(lo, hi):
+                groups.setdefault((n, i), []).append(part)
+        assert load == caps and all(sum(p) == n for (n, _), p in groups.items()) and len(groups) == sum(sizes.values())
+        assert sum(len(p) > 1 for p in groups.values()) < shards
+
+
 def test_sharding_odd_rows(odd, empty):
     rows = sharding.shard(odd, 3).collect()
     assert len(rows) == len(ODD) and sharding.shard(empty).count() == 0

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import drop_written, prefix_sums, table, written
 
-SHARDS, ROUNDS = 24, 4
+SHARDS = 24
 
 
 def capacities(spark: SparkSession, rows: int, shards: int) -> DataFrame:
@@ -20,7 +20,7 @@ def capacities(spark: SparkSession, rows: int, shards: int) -> DataFrame:
     return spark.range(shards).select(F.col("id").cast("int").alias("shard"), (F.lit(rows // shards) + (F.col("id") < rows % shards).cast("long")).alias("cap"))
 
 
-def propagate(state: DataFrame, caps: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(state: DataFrame, caps: DataFrame) -> DataFrame:
     """Move documents of (group, shard, n) to the shard where most of their group is.
 
     Each round, every group picks its fullest part among shards with free places
@@ -28,9 +28,9 @@ def propagate(state: DataFrame, caps: DataFrame, rounds: int = ROUNDS) -> DataFr
     admitted in the order of a hash of the group, up to the shard's free places, which
     a prefix sum over each target finds; partial admissions are allowed. So no shard
     ever exceeds its capacity, and each admitted document joins a larger part of its
-    group: the number of linked pairs in different shards never grows. Stops when
-    nothing is admitted."""
-    for _ in range(rounds):
+    group: the number of linked pairs in different shards falls with every round that
+    admits any. Stops when nothing is admitted; there is no other bound."""
+    while True:
         load = state.groupBy("shard").agg(F.sum("n").alias("load"))
         free = caps.join(load, "shard", "left").select(F.col("shard").alias("_target"), (F.col("cap") - F.coalesce("load", F.lit(0))).alias("free"))
         open_ = state.join(F.broadcast(free), F.col("shard") == F.col("_target"))  # a row a shard
@@ -54,12 +54,15 @@ def propagate(state: DataFrame, caps: DataFrame, rounds: int = ROUNDS) -> DataFr
     return state
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, shard, slot) of every row; counts at most one apart.
 
-    Groups are equal texts. Grouped rows start in shards drawn by hash and move by
-    label propagation within the shards' capacities; rows without equals then fill the
-    places left. Ranks and slots come from two-level prefix sums, so neither a hot
+    Groups are equal texts. A group starts whole in a shard drawn by hash (one larger
+    than a shard in as few as hold it); what exceeds the shards' capacities moves on,
+    and label propagation brings parts together while any place is free. Where packing
+    the groups by size parts fewer pairs, as between full shards, it is taken instead.
+    At most `shards` - 1 groups are parted by it; the fewest possible is a bin packing,
+    which it does not promise. Rows without equals then fill the places left. Ranks and slots come from two-level prefix sums, so neither a hot
     group nor a shard is ever in one task; texts are read once and never shuffled.
 
     Defined cases: null texts are texts of their own kind, all equal to each other
@@ -81,10 +84,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: s
     total = rows.count()
     caps = capacities(spark, total, shards)
     ranges = min(1 << 20, max(4096, 1 << (total // 50_000).bit_length()))  # some ten thousand rows a range
-    # Hash-drawn start of a group: about n / shards documents in each shard, from its own offset on.
-    spread = grouped.withColumn("shard", F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(shards)).cast("int") - 1)))
-    start = spread.select("group", F.pmod(F.col("shard") + F.pmod(F.xxhash64("group"), F.lit(shards)), F.lit(shards)).cast("int").alias("shard"), (F.floor(F.col("n") / shards) + (F.col("shard") < F.col("n") % shards).cast("long")).alias("n"))
-    state = propagate(within(written(start, "state"), caps), caps, rounds)
+    whole = F.lit(max(1, -(-total // shards)))
+    spread = grouped.withColumn("part", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / whole) - 1).cast("int"))))
+    start = spread.select("group", F.pmod(F.col("part") + F.pmod(F.xxhash64("group"), F.lit(shards)), F.lit(shards)).cast("int").alias("shard"), F.least(whole, F.col("n") - F.col("part") * whole).cast("long").alias("n"))
+    state = settle(propagate(within(written(start, "state"), caps), caps), grouped, caps)
     placed = place(rows, state, caps, ranges)
     slots = prefix_sums(placed.withColumn("one", F.lit(1)), ["shard"], "key", ["id", "text_crc32"], "one", "slot", ranges)
     return slots.select("id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
@@ -110,6 +113,56 @@ def within(state: DataFrame, caps: DataFrame) -> DataFrame:
     return merged
 
 
+def pack(sizes: dict[int, int], caps: list[int], level: bool) -> list[tuple[int, int, int, int, int]]:
+    """(n, lo, hi, shard, part): of the sizes[n] groups of n rows, the lo-th to the one
+    before the hi-th have `part` rows in the shard.
+
+    Sizes fall; groups of a size go whole to the shards with the most room (level) or
+    the least that holds one. A group that no shard holds takes the fullest rooms, and
+    its rest the smallest that holds it; it closes a shard, so fewer groups than shards
+    are parted."""
+    free, plan = list(caps), []
+    for n in sorted(sizes, reverse=True):
+        at, end = 0, sizes[n]
+        while at < end and max(free) >= n:
+            fit = sorted((s for s in range(len(free)) if free[s] >= n), key=lambda s: (-free[s] if level else free[s], s))
+            share = max(1, (end - at) // len(fit)) if level else end
+            for s in fit:
+                k = min(share, free[s] // n, end - at)
+                if k:
+                    plan.append((n, at, at + k, s, n))
+                    free[s] -= k * n
+                    at += k
+        for i in range(at, end):
+            rest = n
+            while rest:
+                s = min(range(len(free)), key=lambda s: (free[s] < rest, free[s] if free[s] >= rest else -free[s], s))
+                part = min(rest, free[s])
+                plan.append((n, i, i + 1, s, part))
+                free[s] -= part
+                rest -= part
+    return plan
+
+
+def settle(state: DataFrame, grouped: DataFrame, caps: DataFrame) -> DataFrame:
+    """The state, or the packing of the groups by size where that parts fewer pairs.
+
+    Groups of a size are exchangeable, so the driver packs their counts: at most
+    sqrt(2 x rows) different sizes. The sum of squared parts tells which parts fewer."""
+    squares = lambda plan: sum((hi - lo) * part * part for _, lo, hi, _, part in plan)
+    sizes = {r["n"]: r["c"] for r in grouped.groupBy("n").agg(F.count("*").alias("c")).collect()}
+    room = [r["cap"] for r in caps.orderBy("shard").collect()]
+    plan = max((pack(sizes, room, level) for level in (True, False)), key=squares)
+    if squares(plan) <= (state.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0):
+        return state
+    packed = state.sparkSession.createDataFrame(plan, "_n long, lo long, hi long, shard int, part long")
+    ranked = prefix_sums(grouped.withColumn("one", F.lit(1)).withColumn("key", F.xxhash64("group")), ["n"], "key", ["group"], "one", "rank")
+    placed = ranked.join(F.broadcast(packed), (F.col("n") == F.col("_n")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    new = written(placed.select("group", "shard", F.col("part").alias("n")), "state")
+    drop_written(state)
+    return new
+
+
 def place(rows: DataFrame, state: DataFrame, caps: DataFrame, ranges: int) -> DataFrame:
     """Give every row a shard: grouped rows by their rank in the group, others fill up.
 
