@@ -10,10 +10,12 @@ from veilspark.operators.boxes import merge_boxes, redacted_text, uncovered
 from veilspark.operators.cache import content_keys, hits, misses
 from veilspark.operators.layout import median_heights, row_texts, with_lines, with_rows
 from veilspark.operators.nets import context_hits, pattern_hits, with_nets
+from veilspark.plans import queries
 from veilspark.plans.pipeline import run_plan
 from veilspark.plans.presets import checked, policy_matrix, policy_rules, read_presets, violations
 from veilspark.schema import FIELD_TYPES
 from veilspark.sources.golden import golden
+from veilspark.sources.ledger import ledger
 from veilspark.sources.model import asked, http_labels, rule_labels
 from veilspark.sources.text import fragments, from_ocr, words
 
@@ -178,6 +180,11 @@ def test_reconcile_gives_one_outcome_each_and_fails_closed(spark):
     assert got == {"w0000": ("keep", False), "w0001": ("partial", False), "w0002": ("redact", False), "w0003": ("redact", False), "w0004": ("redact", True)}
 
 
+def test_fail_closed_decides_the_whole_ledger(spark, sf_dir):
+    got = queries.QUERIES["fail_closed_ledger"](spark, sf_dir).agg(F.sum("n"), F.countDistinct("purpose")).first()
+    assert got[0] == 4 * ledger(spark, sf_dir).count() and got[1] == 4
+
+
 def test_guardrail(spark):
     decided = spark.createDataFrame([("d", "p", "a", "keep", False), ("d", "p", "b", "keep", False), ("d", "p", "z", "keep", True), ("d", "p", "r", "redact", False)], CLAIMS + ", critical boolean")
     flags = spark.createDataFrame([("d", "p", k, f) for k, f in enumerate(["b", "a", "b", "z", "r", "nosuch"])], "doc_id string, purpose string, ordinal int, frag_id string")

@@ -312,6 +312,12 @@ def fail_closed_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.fail_closed(head, rules_of(spark)).where("outcome = 'redact'").groupBy("doc_id", "purpose").agg(F.count("*").alias("n"))
 
 
+@query(sql.steps(LEDGER_SQL, sql.RULES) + "SELECT doc_id, purpose, count(*) AS n FROM frags CROSS JOIN purposes GROUP BY ALL")
+def fail_closed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fragments of the ledger; fail_closed_decision has its heading rows' first words only."""
+    return decide.fail_closed(ledger(spark, sf_dir), rules_of(spark)).where("outcome = 'redact'").groupBy("doc_id", "purpose").agg(F.count("*").alias("n"))
+
+
 @query(sql.plan(LEDGER_SQL) + "SELECT doc_id, purpose, frag_id, outcome, pattern, mask FROM final WHERE outcome = 'partial' OR pattern IS NOT NULL OR repaired")
 def decisions_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decided_ledger(spark, sf_dir).where("outcome = 'partial' OR pattern IS NOT NULL OR repaired")
