@@ -232,6 +232,26 @@ def test_boxes_cover_what_is_hidden(spark):
     assert len(row) == 2 or len(row) == 3  # a wide gap parts the run
 
 
+def test_uncovered_words_are_found_in_whatever_line_their_box_is(spark):
+    frags = golden(spark)
+    boxes = merge_boxes(frags)
+    assert uncovered(frags, boxes.withColumn("line_no", F.col("line_no") + 1)).count() == 0
+    small = boxes.withColumn("x1", F.when(F.col("doc_id") == "pan", F.col("x1") - 30).otherwise(F.col("x1")))
+    assert [r[0] for r in uncovered(frags, small).select("doc_id").distinct().collect()] == ["pan"]
+
+
+def test_whole_job_queries_leave_no_fragment_out(spark, sf_dir):
+    run = lambda name: queries.QUERIES[name](spark, sf_dir)
+    n = ledger(spark, sf_dir).count()
+    assert run("reconcile_ledger").count() == 4 * n
+    assert run("unfilled_ledger").agg(F.sum("n")).first()[0] == 4 * n
+    hidden = run("uncovered_ledger").collect()
+    assert len(hidden) == 4 and all(0 < r["n_covered"] <= n and r["n_uncovered"] == 0 for r in hidden)
+    assert run("redacted_lines_all").select("purpose").distinct().count() == 4
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert run("short_id_codes_documents").count() == words(docs).count()
+
+
 def test_text_sink(spark):
     decided = spark.createDataFrame([("d", "p", 0, "ab", 0, 0, 10, "keep", None), ("d", "p", 1, "1234567890", 20, 0, 10, "partial", "XX7890"), ("d", "p", 2, "xyz", 90, 0, 10, "redact", None)], "doc_id string, purpose string, seq int, text string, x int, y int, h int, outcome string, mask string").withColumn("line_no", F.lit(0))
     assert redacted_text(decided).first()["text"] == "ab XX7890 ███"

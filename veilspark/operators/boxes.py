@@ -24,10 +24,15 @@ def merge_boxes(covered: DataFrame, padding: int = PADDING) -> DataFrame:
 
 
 def uncovered(covered: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Covered fragments that no box of their document contains."""
-    b = boxes.select(F.col("doc_id").alias("_d"), "x0", "y0", "x1", "y1")
+    """Covered fragments that no box of their document contains.
+
+    A fragment meets its own line's boxes first (lines as in merge_boxes), the other
+    boxes of its document only where those do not contain it."""
+    b = boxes.select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"), "x0", "y0", "x1", "y1")
     inside = (F.col("doc_id") == F.col("_d")) & (F.col("x0") <= F.col("x")) & (F.col("y0") <= F.col("y")) & (F.col("x1") >= F.col("x") + F.col("w")) & (F.col("y1") >= F.col("y") + F.col("h"))
-    return covered.join(b, inside, "left_anti")
+    lined = with_lines(covered.drop("line_no"))
+    left = lined.join(b, inside & (F.col("line_no") == F.col("_l")), "left_anti")
+    return left.join(b, inside, "left_anti").drop("line_no")
 
 
 def redacted_text(decided: DataFrame, no: str = "line_no", blank: str = "█") -> DataFrame:

@@ -306,6 +306,27 @@ def unfilled_fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_reconcile(spark, sf_dir).groupBy("doc_id", "purpose").agg(F.count_if("unfilled").alias("n_unfilled"), F.count("*").alias("n"))
 
 
+_LEDGER_CLAIMS = """, asserted AS (SELECT doc_id, purpose, frag_id, outcome0 AS outcome FROM policed WHERE ftype <> 'other' UNION ALL SELECT doc_id, purpose, frag_id, 'redact' FROM nets CROSS JOIN purposes WHERE one IS NOT NULL OR two IS NOT NULL),
+strongest AS (SELECT doc_id, purpose, frag_id, min(CASE outcome WHEN 'redact' THEN 0 WHEN 'partial' THEN 1 WHEN 'keep' THEN 2 END) AS rank FROM asserted GROUP BY ALL),
+settled AS (SELECT f.doc_id, p.purpose, f.frag_id, CASE rank WHEN 1 THEN 'partial' WHEN 2 THEN 'keep' ELSE 'redact' END AS outcome, rank IS NULL AS unfilled FROM frags f JOIN (SELECT DISTINCT doc_id, purpose FROM asserted) p USING (doc_id) LEFT JOIN strongest s ON s.doc_id = f.doc_id AND s.purpose = p.purpose AND s.frag_id = f.frag_id) """
+_LEDGER_RECONCILE = sql.steps(LEDGER_SQL, sql.ROWS, sql.FLAGS, sql.VALUES, sql.ANCHORS, sql.RULES, sql.POLICY, sql.NETS) + _LEDGER_CLAIMS
+
+
+@query(_LEDGER_RECONCILE + "SELECT doc_id, purpose, frag_id, outcome, unfilled FROM settled")
+def reconcile_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policy's claims on all labelled fragments of the ledger and the nets' claims on
+    what they hit; fragments of type other have no claim but the nets'."""
+    frags, rules = ledger(spark, sf_dir), rules_of(spark)
+    policed = apply_policy(anchors.anchor_all(wide_of(frags)), rules).where("ftype <> 'other'").select("doc_id", "purpose", "frag_id", "outcome")
+    hit = pii_ids(with_lines(frags)).crossJoin(F.broadcast(rules.select("purpose").distinct()))  # four rows
+    return decide.reconcile(frags, policed.unionByName(hit.withColumn("outcome", F.lit("redact"))))
+
+
+@query(_LEDGER_RECONCILE + "SELECT doc_id, purpose, count(*) FILTER (unfilled) AS n_unfilled, count(*) AS n FROM settled GROUP BY ALL")
+def unfilled_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile_ledger(spark, sf_dir).groupBy("doc_id", "purpose").agg(F.count_if("unfilled").alias("n_unfilled"), F.count("*").alias("n"))
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS doc_id, p.purpose, count(*) AS n FROM customer, (SELECT unnest(['proof_of_income', 'id_verification', 'proof_of_address', 'education_proof']) AS purpose) p, range(12) GROUP BY ALL")
 def fail_closed_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = ledger(spark, sf_dir).where("seq % 100 = 0 AND seq < 1200")
@@ -408,6 +429,30 @@ def uncovered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covered.agg(F.count("*").alias("n_covered")).crossJoin(bad.agg(F.count("*").alias("n_uncovered")))
 
 
+_ALL_BOXES = f""", covered AS (SELECT * FROM final WHERE outcome <> 'keep'),
+gaps AS (SELECT *, CASE WHEN x - lag(x + w) OVER o > greatest(h, lag(h) OVER o) THEN 1 ELSE 0 END AS brk FROM covered WINDOW o AS (PARTITION BY doc_id, purpose, row_no ORDER BY x, c, seq)),
+runs AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, purpose, row_no ORDER BY x, c, seq) AS run FROM gaps),
+boxes AS (SELECT doc_id, purpose, row_no, run, min(x) - {PADDING} AS x0, min(y) - {PADDING} AS y0, max(x + w) + {PADDING} AS x1, max(y + h) + {PADDING} AS y1 FROM runs GROUP BY ALL),
+held AS (SELECT c.doc_id, c.purpose, c.frag_id, count(b.doc_id) AS n FROM covered c LEFT JOIN boxes b ON b.doc_id = c.doc_id AND b.purpose = c.purpose AND x0 <= c.x AND y0 <= c.y AND x1 >= c.x + c.w AND y1 >= c.y + c.h GROUP BY ALL)
+SELECT purpose, count(*) AS n_covered, count(*) FILTER (n = 0) AS n_uncovered FROM held GROUP BY purpose"""
+
+
+@query(sql.plan(LEDGER_SQL) + _ALL_BOXES)
+def uncovered_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden words of the whole ledger under each purpose, and those outside their boxes:
+    a document under a purpose has boxes of its own."""
+    hidden = decided_ledger(spark, sf_dir).where("outcome <> 'keep'").drop("line_no").withColumn("doc_id", F.concat_ws("/", "doc_id", "purpose"))
+    bad = uncovered(hidden, merge_boxes(hidden)).groupBy(F.col("purpose").alias("_p")).agg(F.count("*").alias("bad"))
+    n = hidden.groupBy("purpose").agg(F.count("*").alias("n_covered"))
+    return n.join(F.broadcast(bad), F.col("purpose") == F.col("_p"), "left").select("purpose", "n_covered", F.coalesce("bad", F.lit(0)).alias("n_uncovered"))
+
+
+@query(sql.plan(LEDGER_SQL) + "SELECT doc_id, purpose, row_no AS line_no, string_agg(CASE outcome WHEN 'keep' THEN text WHEN 'partial' THEN mask ELSE repeat('█', length(text)) END, ' ' ORDER BY x, c, seq) AS text FROM final GROUP BY ALL")
+def redacted_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """redacted_lines under all four purposes."""
+    return redacted_text(decided_ledger(spark, sf_dir))
+
+
 @query(sql.plan(LEDGER_SQL) + "SELECT doc_id, purpose, row_no AS line_no, string_agg(CASE outcome WHEN 'keep' THEN text WHEN 'partial' THEN mask ELSE repeat('█', length(text)) END, ' ' ORDER BY x, c, seq) AS text FROM final WHERE purpose IN ('id_verification', 'proof_of_income') GROUP BY ALL")
 def redacted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redacted_text(decided_ledger(spark, sf_dir).where("purpose IN ('id_verification', 'proof_of_income')"))
@@ -493,6 +538,14 @@ def short_id_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short_ids(fragments(texts)).select("doc_id", "seq", "batch", "short_id")
 
 
+@query("WITH " + _words_sql("documents", "doc_id") + f", n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, tok) - 1 AS i FROM words) SELECT doc_id, CAST(i + 1 AS INT) AS seq, CAST(i // {BATCH} AS INT) AS batch, chr(CAST(97 + (i % {BATCH}) // 26 AS INT)) || lpad(CAST(i % {BATCH} % 26 AS VARCHAR), 2, '0') AS short_id FROM n")
+def short_id_codes_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all words of documents, where short_id_codes has those of conversations."""
+    from veilspark.sources.text import fragments
+
+    return short_ids(fragments(table(spark, sf_dir, "documents"))).select("doc_id", "seq", "batch", "short_id")
+
+
 @query("WITH " + _words_sql("documents", "doc_id") + f", n AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id) SELECT doc_id, (n + {BATCH} - 1) // {BATCH} AS batches, n AS fragments FROM n")
 def detect_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = words(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("fragments"))
