@@ -103,6 +103,13 @@ def test_jaccard_odd_rows(odd, empty):
     assert jaccard.link_classes(empty).count() == jaccard.keep_one(empty).count() == 0
 
 
+def test_keep_one_keeps_a_row_of_each_text_of_an_id(spark):
+    a, b, c, d = ("".join(f"{x}{k} " for k in range(40)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, b), (3, a), (4, c), (5, c), (5, d), (5, d)]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, a), (1, b), (4, c), (5, d)]
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     for n in range(16, 161, 16):
         m = jaccard.least_matches(n, 0.8, 1e-6)

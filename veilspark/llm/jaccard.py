@@ -99,21 +99,21 @@ def signature(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, size, sig): node names the class of texts with the same shingles."""
+    """(id, text_key, node, size, sig): node names the class of texts with the same shingles."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in it:
             nodes, sizes, sigs = [], [], []
-            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, text in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True):
                 h = shingles(text, hashes, s.words) if text is not None else np.empty(0, np.uint64)
                 nodes.append(xxhash.xxh128_digest(h.tobytes()) if text is not None else xxhash.xxh128_digest(f"no text {key}"))
                 sizes.append(len(h))
                 sigs.append(signature(h, s.hashes).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "node", "size", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "text_key", "node", "size", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(batches, f"id {kind}, node binary, size long, sig binary")
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(batches, f"id {kind}, text_key long, node binary, size long, sig binary")
 
 
 def band_rows(classes: DataFrame, s: Settings) -> DataFrame:
@@ -256,7 +256,12 @@ def link_classes(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_i
     words are one shingle; texts without words are equal to each other; a null text
     links to nothing; rows with a null id are in no class (null) and have no links;
     repeated rows count as copies; other columns are ignored."""
-    spark = docs.sparkSession
+    return linked(docs, s, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "n_links")
+
+
+def linked(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_key, comp, class_id, n_links) of every row: comp names the class, which
+    class_id does not where an id has several texts; text_key is xxhash64 of the text."""
     sk = written(sketches(docs, s, id_col, text_col), "sketches")
     given = sk.where("id IS NOT NULL")
     classes = written(given.groupBy("node").agg(F.min(F.struct("id", "size", "sig")).alias("first"), F.count("*").alias("copies")).select("node", F.col("first.id").alias("id"), F.col("first.size").alias("size"), F.col("first.sig").alias("sig"), "copies"), "classes")
@@ -289,19 +294,21 @@ def link_classes(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_i
     info = classes.select("node", "id", "copies").join(links, F.col("node") == F.col("_ln"), "left").drop("_ln")
     info = info.join(groups.select(F.col("node").alias("_gn"), "comp"), F.col("node") == F.col("_gn"), "left").select("node", "id", F.coalesce("comp", "node").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     lowest = info.groupBy(F.col("comp").alias("_comp")).agg(F.min("id").alias("class_id"))
-    named = info.join(lowest, F.col("comp") == F.col("_comp")).select(F.col("node").alias("_node"), "class_id", "n_links")
-    result = sk.select("id", "node").join(named, (F.col("node") == F.col("_node")) & F.col("id").isNotNull(), "left")
-    return result.select(F.col("id").alias(id_col), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = info.join(lowest, F.col("comp") == F.col("_comp")).select(F.col("node").alias("_node"), "comp", "class_id", "n_links")
+    result = sk.select("id", "text_key", "node").join(named, (F.col("node") == F.col("_node")) & F.col("id").isNotNull(), "left")
+    return result.select("id", "text_key", "comp", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """The rows, with all their columns, without near duplicates: of each class the
-    row with the smallest id stays (of repeated rows with that id, one); rows with a
-    null id stay."""
-    named = link_classes(docs, s, id_col, text_col)
-    kept = named.where(F.col("class_id") == F.col(id_col)).select(F.col(id_col).alias("_kept")).distinct()
-    left = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    return left.dropDuplicates([id_col]).union(docs.where(F.col(id_col).isNull()))
+    row with the smallest id stays (of its texts in the class, that with the smallest
+    hash; of repeated rows with that id and text, one); rows with a null id stay. An id
+    with unrelated texts is in several classes and may stay for each."""
+    named = linked(docs, s, id_col, text_col)
+    kept = named.where("class_id = id").groupBy("comp").agg(F.min("id").alias("_kept"), F.min("text_key").alias("_kept_key"))
+    keyed = docs.where(F.col(id_col).isNotNull()).withColumn("_text_key", F.xxhash64(text_col))
+    left = keyed.join(kept, (F.col(id_col) == F.col("_kept")) & (F.col("_text_key") == F.col("_kept_key")), "left_semi")
+    return left.dropDuplicates([id_col, "_text_key"]).drop("_text_key").union(docs.where(F.col(id_col).isNull()))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
