@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import re
 from collections.abc import Iterator
 
@@ -27,60 +28,147 @@ VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 BLOCK_IDS = 1 << 21
 #: Starts of at most this many blocks are broadcast (a few MB); more are joined by shuffle.
 BROADCAST_BLOCKS = 100_000
-CACHED_PIECES = 850_000
+CACHED_ATOMS = 850_000
+#: Bytes of text that are cut at once; a longer text is cut in parts of about this size.
+WINDOW_BYTES = 1 << 24
 MAGIC = b"VBYTE01\n"
-#: A space after anything but white space: a match of the vocabulary's pre-split
-#: pattern always begins there, so pieces between such places encode on their own.
+#: Where texts longer than a window are parted: a match of the vocabulary's pre-split
+#: pattern always begins at a space after anything but white space.
 BOUNDARY = re.compile(r"(?<=\S)(?= )")
-#: White space before a space: texts with it are cut by BOUNDARY, others at every space.
-ODD = "[\\t-\\r\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
-#: Pieces that stand alone between separators: the pre-split pattern makes one match
+#: Atoms that stand alone between separators: the pre-split pattern makes one match
 #: of the separator after anything but white space and before one space or none.
 SEPARATOR, PLAIN = "\r", re.compile(r" ?[^\s](?:[^\r]*[^\s])?")
-#: Pieces that can be cut further: Latin letters, signs other than the apostrophe,
-#: digits and lone newlines, with a space at most in front. One kind never shares a
-#: match of the pattern with the next.
-_LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
-CUTTABLE = re.compile(rf"(?: (?!\n))?(?:[{_LETTERS}]+|[{_SIGNS}]+|[0-9]+|\n(?!\n))*")
-ATOM = re.compile(rf" ?[{_LETTERS}]+| ?[{_SIGNS}]+| ?[0-9]+|\n")
-#: Signs that end a word and that no match shares with the letters before them.
-STOPS = tuple(".,;:!?)")
+#: Atoms that are one match of the pattern: of Latin letters, digits or signs.
+ONE_MATCH = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+#: Kinds of bytes. LETTER: Latin letters up to U+00FF; SIGN: ASCII signs but the
+#: apostrophe; OTHER: bytes of characters that are surely no white space; BREAK: ASCII
+#: white space but the space; UNSURE: what must not be cut off on either side.
+LETTER, DIGIT, SIGN, APOSTROPHE, OTHER, SPACE, BREAK, UNSURE = range(8)
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
+def _kinds() -> np.ndarray:
+    """The kind of each byte on its own; two- and three-byte characters are corrected later."""
+    kinds = np.full(256, OTHER, np.uint8)
+    for b in range(128):
+        c = chr(b)
+        kinds[b] = LETTER if c.isalpha() else DIGIT if c.isdigit() else APOSTROPHE if c == "'" else SPACE if c == " " else BREAK if c in "\t\n\x0b\x0c\r" else SIGN if c.isprintable() else UNSURE
+    return kinds
+
+
+def _cuts() -> np.ndarray:
+    """Whether a match of the pre-split pattern surely ends between two kinds, at [before * 8 + after].
+
+    Between runs of letters, digits and signs; before an apostrophe after letters or
+    digits (it begins a match, maybe with letters after it); before white space after
+    anything else; after white space that is no space, before anything else."""
+    cuts = np.zeros((8, 8), bool)
+    solid = [LETTER, DIGIT, SIGN, APOSTROPHE, OTHER]
+    for a in (LETTER, DIGIT, SIGN):
+        for b in (LETTER, DIGIT, SIGN):
+            cuts[a, b] = a != b
+    cuts[LETTER, APOSTROPHE] = cuts[DIGIT, APOSTROPHE] = True
+    for x in solid:
+        cuts[x, SPACE] = cuts[x, BREAK] = cuts[BREAK, x] = True
+    return cuts.ravel()
+
+
+def _byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in vocabularies of bytes: itself if it is
+    printable Latin, else the next one from U+0100 on."""
+    odd = itertools.count(0x100)
+    return {b: b if chr(b).isprintable() and b not in (0x20, 0xAD) else next(odd) for b in range(256)}
+
+
+KINDS, CUTS, BYTE_LETTERS = _kinds(), _cuts(), _byte_letters()
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizer(vocabulary: str) -> Tokenizer:
-    found = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path(vocabulary))
+
+
+def kinds_of(raw: np.ndarray) -> np.ndarray:
+    """The kind of each byte of UTF-8 texts."""
+    kinds = KINDS[raw]
+    lead = np.flatnonzero(raw >= 0xC2)
+    if len(lead):
+        first = raw[lead]
+        second = raw[np.minimum(lead + 1, len(raw) - 1)]
+        third = raw[np.minimum(lead + 2, len(raw) - 1)]
+        latin = lead[(first == 0xC3) & (second != 0x97) & (second != 0xB7)]  # U+00C0 to U+00FF but the signs of times and division
+        kinds[latin] = LETTER
+        kinds[latin + 1] = LETTER
+        blank = (first == 0xC2) & ((second == 0x85) | (second == 0xA0))
+        blank |= (first == 0xE1) & ((second == 0x9A) | (second == 0xA0)) & ((third == 0x80) | (third == 0x8E))  # U+1680, U+180E
+        blank |= (first == 0xE2) & (((second == 0x80) & ((third <= 0x8F) | ((third >= 0xA8) & (third <= 0xAF)))) | ((second == 0x81) & (third == 0x9F)))
+        blank |= (first == 0xE3) & (second == 0x80) & (third == 0x80)
+        at, size = lead[blank], np.where(first[blank] == 0xC2, 2, 3)
+        for k in range(3):
+            kinds[at[size > k] + k] = UNSURE
+    return kinds
+
+
+def atom_starts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where atoms begin in the bytes of texts that begin at `starts`.
+
+    Atoms encode on their own to what they are in their text: they begin and end where
+    the pre-split pattern always ends a match. Of a run of white space the pattern takes
+    the last character apart, if more than white space follows."""
+    kinds = kinds_of(raw)
+    pair = (kinds[:-1] << 3) | kinds[1:]
+    first = np.zeros(len(raw) + 1, bool)
+    first[starts] = True
+    cut = first[:-1].copy()
+    cut[1:] |= CUTS[pair]
+    blank = (kinds == SPACE) | (kinds == BREAK)
+    last = np.flatnonzero(blank[:-1] & blank[1:]) + 1
+    last = last[last + 1 < len(raw)]
+    last = last[(kinds[last + 1] < SPACE) & ~first[last + 1]]
+    cut[last] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Encodes texts with the library, each distinct atom once while it is remembered.
-
-    A text is cut before spaces into pieces, and a piece that is not remembered into
-    atoms: runs of letters, of signs or of digits with at most one space before them,
-    and newlines. All cuts are at places where the pre-split pattern always ends a
-    match. `spaced` holds ids of what begins with a space (named without it), `bare`
-    those of the rest. Together they are bounded; what does not fit is encoded each time."""
+    """Encodes texts with the library, each distinct atom (see atom_starts) once while
+    it is remembered. Atoms are found, made distinct and put together again by numpy and
+    Arrow, not one by one; CACHED_ATOMS bounds what is remembered, what does not fit is
+    encoded each time. Texts with the string of a special token go to the library whole."""
 
     def __init__(self, vocabulary: str) -> None:
         self.library = tokenizer(vocabulary)
         self.width = width_of(vocabulary)
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        (self.separator,) = self.library.encode(SEPARATOR, add_special_tokens=False).ids
-
-    def apart(self, pieces: list[str], before: str = "") -> list[bytes]:
-        """Ids of each piece with `before` in front, many at once between separators.
-        The pieces must be PLAIN."""
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        (self.separator,) = self.alone_ids(SEPARATOR)
+        parts = json.loads(self.library.to_str())
+        pre = parts["pre_tokenizer"]
+        self.model = self.library.model if parts["normalizer"] is None and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] else None
+
+    def alone_ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def alone(self, text: str) -> bytes:
+        return np.array(self.alone_ids(text), self.width).tobytes()
+
+    def single(self, atoms: list[bytes]) -> list[bytes]:
+        """Ids of atoms that are one match each: the library's model alone gives them."""
+        tokens, ids, ends = self.model.tokenize, [], [0]
+        for x in atoms:
+            ids += [t.id for t in tokens(x.decode("latin-1").translate(BYTE_LETTERS))]
+            ends.append(len(ids))
+        raw, w = np.array(ids, self.width).tobytes(), self.width.itemsize
+        return [raw[a * w : b * w] for a, b in itertools.pairwise(ends)]
+
+    def apart(self, atoms: list[str]) -> list[bytes]:
+        """Ids of each PLAIN atom, many at once between separators."""
         found: list[bytes] = []
         w = self.width.itemsize
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at : at + 4096]
-            joined = before + (SEPARATOR + before).join(part)
-            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.width)
+        for at in range(0, len(atoms), 4096):
+            part = atoms[at : at + 4096]
+            ids = np.array(self.library.encode_batch_fast([SEPARATOR.join(part)], add_special_tokens=False)[0].ids, self.width)
             ends = [*(np.flatnonzero(ids == self.separator) * w).tolist(), len(ids) * w]
             if len(ends) != len(part):
                 raise ValueError("the vocabulary does not keep the separator apart")
@@ -88,85 +176,88 @@ class Encoder:
             found += [raw[a:b] for a, b in zip([0, *[x + w for x in ends[:-1]]], ends, strict=True)]
         return found
 
-    def alone(self, piece: str) -> bytes:
-        return np.array(self.library.encode(piece, add_special_tokens=False).ids, self.width).tobytes()
-
-    def learn(self, spaced: list[str], bare: list[str]) -> None:
-        """Remember the ids of these pieces, the first ones named without their space."""
-        if len(self.spaced) + len(self.bare) > CACHED_PIECES:  # begin anew
-            self.spaced, self.bare = {}, {}
-        known, heads = self.spaced, self.bare
-        new = [w for w in spaced if w not in known]
-        letters = {w for w in new if w.isalpha()}
-        ended, parts = [], []  # letters and one sign; what has more atoms
-        rest = [(w, True) for w in new if w not in letters] + [(w, False) for w in bare if w not in heads]
-        signs: set[str] = set()
-        for w, after_space in rest:
-            if after_space and w[-1:] in STOPS and (base := w[:-1]).isalpha():
-                ended.append((w, base, w[-1]))
-                signs.add(w[-1])
-                if base not in known:
-                    letters.add(base)
-            else:
-                piece = " " + w if after_space else w
-                parts.append((w, known if after_space else heads, CUTTABLE.fullmatch(piece) and ATOM.findall(piece) or [piece]))
-        atoms = {x for _, _, found in parts for x in found}
-        letters |= {x[1:] for x in atoms if x[0:1] == " " and x[1:].isalpha() and x[1:] not in known}
-        words = list(letters)
-        known.update(zip(words, self.apart(words, " "), strict=True))
-        left = [x for x in atoms | signs if (x[1:] not in known if x[0:1] == " " else x not in heads)]
-        plain = [x for x in left if PLAIN.fullmatch(x)]
-        ids = dict(zip(plain, self.apart(plain), strict=True)) | {x: self.alone(x) for x in set(left).difference(plain)}
-        for x, value in ids.items():
-            if x[0:1] == " ":
-                known[x[1:]] = value
+    def ids_of(self, atoms: list[bytes]) -> list[bytes]:
+        """Ids of distinct atoms, remembered ones or new ones. What was not asked for
+        while CACHED_ATOMS / 2 others were is forgotten."""
+        found = list(map(self.young.get, atoms))
+        missing = [i for i, x in enumerate(found) if x is None]
+        plain, rest, single = [], [], []
+        for i in missing:
+            x = atoms[i]
+            if (known := self.old.get(x)) is not None:
+                found[i] = known
+            elif self.model and ONE_MATCH.fullmatch(x):
+                single.append(i)
             else:
-                heads[x] = value
-        known.update([(w, known[base] + heads[sign]) for w, base, sign in ended])
-        for w, into, found in parts:
-            into[w] = b"".join([known[x[1:]] if x[0:1] == " " else heads[x] for x in found])
+                (plain if PLAIN.fullmatch(x.decode()) else rest).append(i)
+        for at, ids in ((single, self.single([atoms[i] for i in single])), (plain, self.apart([atoms[i].decode() for i in plain])), (rest, [self.alone(atoms[i].decode()) for i in rest])):
+            for i, x in zip(at, ids, strict=True):
+                found[i] = x
+        self.young.update([(atoms[i], found[i]) for i in missing])
+        if len(self.young) > CACHED_ATOMS // 2:
+            self.old, self.young = self.young, {}
+        return found
 
     def encode(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
         """Ids of each text, and `end`, as little-endian unsigned integers of self.width."""
         texts = texts.fill_null("")
-        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-        if odd.any():
-            out: list[bytes | None] = self.together(pc.if_else(pa.array(odd), "", texts), end).to_pylist()
-            for i in np.flatnonzero(odd).tolist():
-                first, *rest = BOUNDARY.split(texts[i].as_py())
-                first, rest = ("", [first[1:], *[x[1:] for x in rest]]) if first[:1] == " " else (first, [x[1:] for x in rest])
-                self.learn(list(set(rest)), [first])
-                out[i] = self.bare[first] + b"".join([self.spaced[x] for x in rest]) + end
-            return pa.array(out, pa.binary())
-        return self.together(texts, end)
+        whole = np.zeros(len(texts), bool)
+        for token in self.special:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(texts).to_numpy()
+        long = ~whole & (size > WINDOW_BYTES)
+        if not (whole.any() or long.any()):
+            return self.together(texts, end)
+        out: list[bytes | None] = self.together(pc.if_else(pa.array(whole | long), "", texts), end).to_pylist()
+        for i in np.flatnonzero(whole):
+            out[i] = self.alone(texts[int(i)].as_py()) + end
+        for i in np.flatnonzero(long):
+            out[i] = b"".join(self.together(pa.array([x]), b"")[0].as_py() for x in parts_of(texts[int(i)].as_py())) + end
+        return pa.array(out, pa.binary())
 
     def together(self, texts: pa.Array, end: bytes) -> pa.Array:
-        """The same for texts in which every space begins a piece: distinct pieces are
-        found and put together again by Arrow and numpy, not one by one."""
-        lists = pc.split_pattern(texts, " ")
-        starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        heads = pc.list_element(lists, 0).to_pylist()
-        coded = lists.flatten().dictionary_encode()
-        at = coded.indices.to_numpy().astype(np.int64)
-        seen = np.ones(len(at), bool)
-        seen[starts[:-1]] = False
-        used = np.zeros(len(coded.dictionary), bool)
-        used[at[seen]] = True
-        words = coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist()
-        place = np.cumsum(used) - 1
-        self.learn(words, list(set(heads)))
-        values = [*map(self.spaced.__getitem__, words), *map(self.bare.__getitem__, heads), end]
-        index = place[at]
-        index[starts[:-1]] = len(words) + np.arange(len(heads))
-        index = np.insert(index, starts[1:], len(values) - 1)  # the end id after each text
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.width.itemsize
+        texts = texts.cast(pa.binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        low, high = int(offsets[0]), int(offsets[-1])
+        if low == high:
+            return pa.array([end] * len(texts), pa.binary())
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[low:high]
+        starts = offsets - low
+        at = atom_starts(raw, starts).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, np.int32(len(raw)))), pa.py_buffer(raw)]).dictionary_encode()
+        atoms = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = [*self.ids_of(atoms), end]
+        ends_at = np.searchsorted(at, starts[1:])  # the number of the first atom after each text
+        index = np.insert(coded.indices.to_numpy(), ends_at, len(atoms))  # the end id after each text
+        w = self.width.itemsize
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // w
         flat = np.frombuffer(b"".join(values), self.width)
         n = sizes[index]
         ends = np.cumsum(n)
         source = np.repeat((np.cumsum(sizes) - sizes)[index] - ends + n, n)
         source += np.arange(len(source))
-        offsets = np.concatenate([[0], ends[starts[1:] + np.arange(len(heads))]]) * self.width.itemsize
-        return pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat[source])])
+        done = np.concatenate([[0], ends[ends_at + np.arange(len(texts))]]) * w
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(done.astype(np.int32)), pa.py_buffer(flat[source])])
+
+
+def parts_of(text: str, most: int = WINDOW_BYTES // 2) -> Iterator[str]:
+    """A long text, parted before the first space after each `most` characters."""
+    start = 0
+    while len(text) - start > most and (cut := BOUNDARY.search(text, start + most)):
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
+def windows(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of neighbouring texts with at most WINDOW_BYTES together, or one longer text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(texts):
+        before = size[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(size, before + WINDOW_BYTES, "right")))
+        yield a, b
+        a = b
 
 
 @functools.lru_cache(maxsize=2)
@@ -187,8 +278,8 @@ def encode_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
         for batch in it:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for a, b in windows(batch.column(1)):
+                part = batch.slice(a, b - a)
                 ids = encoder.encode(part.column(1), end)
                 n = pc.divide(pc.binary_length(ids), width.itemsize).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, n], names=["id", "ids", "n"])
