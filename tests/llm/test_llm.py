@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from veilspark.llm import binary, bpe, components, jaccard, langid, mixing, mjpeg, quality, sharding, toxicity, urls
 from veilspark.llm.common import prefix_sums, table
 
@@ -430,19 +431,55 @@ def test_pack_round_trip():
         assert (binary.unpack(*binary.pack(v[:n]), n) == v[:n]).all()
 
 
-def test_pieces_encode_as_whole_texts():
-    library, encoder = binary.tokenizer(binary.VOCABULARY), binary.Encoder(binary.VOCABULARY)
+def library_of(vocabulary=binary.VOCABULARY):
+    """The library as it is by default, apart from the operator's own."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(vocabulary))
+
+
+SPECIAL = ["<|endoftext|>", "x <|endoftext|> y", "a<|endoftext|>b <|endoftext|><|endoftext|>", "<|endoftext |>"]
+
+
+def test_atoms_encode_as_whole_texts(monkeypatch):
     rng = random.Random(3)
-    texts = ["".join(rng.choice("\n.,(-9ñłЖ 'ab c1  2\n\n'sé. ß漢\t’ré\x85\xa0<| ") for _ in range(rng.randrange(14))) for _ in range(8000)]
-    texts += ["  a", "a  b", " \n x", " ", " a", "<|endoftext|>", "a\rb", "don't", " they'll.\nGo", LONG]
-    whole = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, encoder.width).tolist() for x in encoder.encode(pa.array(texts)).to_pylist()] == whole
+    letters = "\n.,(-9ñłЖ 'ab c1  2\n\n'sé. ß漢\t’ré\x85\xa0<| ×÷µ\u2003\u3000—\x1c\r\0\u0301\u00ad"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(14))) for _ in range(8000)]
+    texts += ["".join(rng.choice(" \n\t a.\u2003") for _ in range(rng.randrange(9))) for _ in range(4000)]
+    texts += ["  a", "a  b", " \n x", " ", " a", "a\rb", "don't", " they'll.\nGo", "it''s 'S", LONG, *SPECIAL]
+    whole = [e.ids for e in library_of().encode_batch(texts, add_special_tokens=False)]
+    encoder = binary.Encoder(binary.VOCABULARY)
+    for _ in range(2):
+        assert [np.frombuffer(x, encoder.width).tolist() for x in encoder.encode(pa.array(texts)).to_pylist()] == whole
+    monkeypatch.setattr(binary, "WINDOW_BYTES", 1000)
+    monkeypatch.setattr(binary, "CACHED_ATOMS", 100)
+    some = texts[:500] + texts[-15:]
+    sliced = pa.array(["x", *some]).slice(1)
+    assert [np.frombuffer(x, encoder.width).tolist() for x in encoder.encode(sliced).to_pylist()] == whole[:500] + whole[-15:]
+    assert [i for a, b in binary.windows(sliced) for i in range(a, b)] == list(range(len(some)))
+
+
+def test_kinds_of_bytes_agree_with_unicode():
+    for cp in [*range(0x3100), 0x1F600]:
+        if 0xD800 <= cp < 0xE000:
+            continue
+        c = chr(cp)
+        kinds = set(binary.kinds_of(np.frombuffer(c.encode(), np.uint8)).tolist())
+        assert len(kinds) == 1
+        (kind,) = kinds
+        if c.isspace() and cp not in (0x1C, 0x1D, 0x1E, 0x1F):
+            assert kind in (binary.SPACE, binary.BREAK, binary.UNSURE)
+        if kind == binary.LETTER:
+            assert c.isalpha()
 
 
 def test_token_files_round_trip(spark, sf_dir, odd, empty):
-    library = binary.tokenizer(binary.VOCABULARY)
-    docs = odd.select("doc_id", "text").union(table(spark, sf_dir, "documents").select(F.col("doc_id") + 100, "text"))
-    rows = binary.read_ids(*binary.write_ids(docs, block_ids=5000)).orderBy("start").collect()
+    library = library_of()
+    special = spark.createDataFrame([(50 + k, t) for k, t in enumerate(SPECIAL)], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").union(special).union(table(spark, sf_dir, "documents").select(F.col("doc_id") + 100, "text"))
+    path = binary.write_ids(docs, block_ids=5000)
+    rows = binary.read_ids(spark.newSession(), path).orderBy("start").collect()  # all that reading needs is in the files
     keys = [r["doc_id"] for r in rows]
     assert keys == sorted(keys, key=lambda k: (k is not None, k)) and len(rows) == docs.count()
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
@@ -451,7 +488,18 @@ def test_token_files_round_trip(spark, sf_dir, odd, empty):
         ids = [*library.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 2]
         assert (r["start"], r["n_tokens"], np.frombuffer(r["ids"], "<u4").tolist()) == (at, len(ids), ids)
         at += len(ids)
-    assert binary.read_ids(*binary.write_ids(empty)).count() == 0
+    assert binary.read_ids(spark, binary.write_ids(empty)).count() == 0
+
+
+def test_token_ids_query(spark, sf_dir):
+    df = entry.queries()["op9_token_ids"](spark, sf_dir)
+    assert df.dtypes == [("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids_crc32", "bigint")]
+    got = {r["doc_id"]: tuple(r)[1:] for r in df.collect()}
+    library, at = library_of(), 0
+    for r in table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id").collect():
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        assert got[r["doc_id"]] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
 
 
 # --- op10 ---------------------------------------------------------------------

@@ -11,6 +11,7 @@ import functools
 import itertools
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veilspark.llm.common import drop_written, table, written
+from veilspark.llm.common import drop_written, shared_dir, table, written
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 #: Ids in a block of a file, about: a block ends with the document that reaches this.
@@ -31,7 +32,7 @@ BROADCAST_BLOCKS = 100_000
 CACHED_ATOMS = 850_000
 #: Bytes of text that are cut at once; a longer text is cut in parts of about this size.
 WINDOW_BYTES = 1 << 24
-MAGIC = b"VBYTE01\n"
+MAGIC, RANKS_MAGIC = b"VBYTE01\n", b"VRANK01\n"
 #: Where texts longer than a window are parted: a match of the vocabulary's pre-split
 #: pattern always begins at a space after anything but white space.
 BOUNDARY = re.compile(r"(?<=\S)(?= )")
@@ -341,24 +342,32 @@ def unblock(raw: bytes, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return counts, token[unpack(raw[at:middle], raw[middle:], n)]
 
 
-def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> tuple[DataFrame, list[int]]:
-    """Encode all texts and store them as blocks of the format above, in ascending
-    order of the id: (part, seq, doc_ids, n_ids, block), and the ids by rank.
+def write_ids(docs: DataFrame, path: str | None = None, vocabulary: str = VOCABULARY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> str:
+    """Encode all texts and store them in ascending order of the id under `path` (by
+    default a new folder of the shared one), which is given back. All that reading needs
+    is there:
 
-    Blocks are written through Spark into the shared folder, so any store will do. A
-    part is a range of ids and is coded as a stream; a task holds one block at a time.
-    The ranks are a list as long as the vocabulary. Defined cases: null texts are
-    empty (only the end id); null document ids come first; rows with equal ids stand
-    in the order of their tokens; other columns are ignored."""
+    - blocks: (part, seq, doc_ids, n_ids, block), blocks of the format above;
+    - index: (part, seq, block_start), the number of ids before each block;
+    - ranks: one row, RANKS_MAGIC and the ids by rank as unsigned 32-bit integers.
+
+    Files are written through Spark, so any store will do. A part is a range of ids and
+    is coded as a stream; a task holds one block at a time. Strings of special tokens
+    become their ids, as the library has it. Defined cases: null texts are empty (only
+    the end id); null document ids come first; rows with equal ids stand in the order of
+    their tokens; other columns are ignored."""
+    spark = docs.sparkSession
+    path = path or f"{shared_dir(spark)}/veilspark-ids-{uuid.uuid4().hex}"
     width = width_of(vocabulary)
-    encoded = written(encode_ids(docs, vocabulary, end_id, id_col, text_col), "ids")
+    encoded = written(encode_ids(docs, vocabulary, end_id, id_col, text_col), "encoded")
     counted = frequencies(encoded, width).collect()  # bounded by the vocabulary
-    by_rank = [r["token"] for r in sorted(counted, key=lambda r: (-r["n"], r["token"]))]
-    rank = np.zeros(max(by_rank, default=0) + 1, np.uint32)
+    by_rank = np.array([r["token"] for r in sorted(counted, key=lambda r: (-r["n"], r["token"]))], "<u4")
+    rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
-    spark = docs.sparkSession
+    spark.createDataFrame([(bytearray(RANKS_MAGIC + by_rank.tobytes()),)], "ranks binary").write.parquet(f"{path}/ranks")
     shared = spark.sparkContext.broadcast(rank)
-    parts = max(1, int(sum(r["n"] for r in counted) // (4 * block_ids)), min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sum(r["n"] for r in counted) // (block_ids // 4))))
+    total = sum(r["n"] for r in counted)
+    parts = max(1, total // (4 * block_ids), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (block_ids // 4)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,27 +390,33 @@ def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_I
 
     ordered = encoded.repartitionByRange(parts, F.col("id").asc_nulls_first(), F.xxhash64("ids")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("ids"))
     made = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(blocks, f"part int, seq int, doc_ids array<{kind}>, n_ids long, block binary")
-    blocks_table = written(made, "blocks")
-    drop_written(encoded)
-    return blocks_table, by_rank
-
-
-def read_ids(blocks: DataFrame, by_rank: list[int], id_col: str = "doc_id") -> DataFrame:
-    """(id_col, start, n_tokens, ids) of each document, decoded from the stored blocks;
-    ids as little-endian unsigned 32-bit integers, start: ids of all documents before."""
-    spark = blocks.sparkSession
-    shared = spark.sparkContext.broadcast(np.array(by_rank, "<u4"))
-    meta = blocks.select("part", "seq", "n_ids")
+    made.write.option("compression", "zstd").parquet(f"{path}/blocks")
+    meta = spark.read.parquet(f"{path}/blocks").select("part", "seq", "n_ids")
     totals = meta.groupBy("part").agg(F.sum("n_ids").alias("all"))  # a row a part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("part").alias("_p"), F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = meta.join(totals, F.col("part") == F.col("_p")).select(F.col("part").alias("_part"), F.col("seq").alias("_seq"), (F.col("base") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("block_start"))
+    starts = meta.join(totals, F.col("part") == F.col("_p")).select("part", "seq", (F.col("base") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("block_start"))
+    starts.coalesce(1).write.parquet(f"{path}/index")  # a row a block
+    drop_written(encoded)
+    return path
+
+
+def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, start, n_tokens, ids) of each document, decoded from what write_ids has
+    stored under `path`; ids as little-endian unsigned 32-bit integers, start: ids of
+    all documents before."""
+    blocks = spark.read.parquet(f"{path}/blocks")
+    raw = bytes(spark.read.parquet(f"{path}/ranks").first()["ranks"])  # as long as the vocabulary
+    if raw[:8] != RANKS_MAGIC:
+        raise ValueError("no ranks of token ids")
+    shared = spark.sparkContext.broadcast(np.frombuffer(raw, "<u4", offset=8))
+    starts = spark.read.parquet(f"{path}/index").withColumnsRenamed({"part": "_part", "seq": "_seq"})
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for part, seq, keys, _, raw in zip(*(c if i == 2 else c.to_pylist() for i, c in enumerate(batch.columns)), strict=True):
+            for part, seq, keys, raw in zip(*(c if i == 2 else c.to_pylist() for i, c in enumerate(batch.columns)), strict=True):
                 counts, ids = unblock(raw, shared.value)
                 ends = np.cumsum(counts, dtype=np.int64)
                 flat, n = ids.tobytes(), len(counts)
@@ -410,11 +425,11 @@ def read_ids(blocks: DataFrame, by_rank: list[int], id_col: str = "doc_id") -> D
                     each = [flat[4 * int(ends[k] - counts[k]) : 4 * int(ends[k])] for k in some]
                     yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array([seq] * len(some), pa.int32()), keys.values.slice(at, len(some)), pa.array((ends - counts)[at : at + len(some)]), pa.array(counts[at : at + len(some)].astype(np.int64)), pa.array(each, pa.binary())], names=["part", "seq", "id", "offset", "n_tokens", "ids"])
 
-    read = blocks.select("part", "seq", "doc_ids", "n_ids", "block").mapInArrow(batches, f"part int, seq int, id {kind}, offset long, n_tokens long, ids binary")
-    placed = read.join(F.broadcast(starts) if meta.count() <= BROADCAST_BLOCKS else starts, (F.col("part") == F.col("_part")) & (F.col("seq") == F.col("_seq")))
+    read = blocks.select("part", "seq", "doc_ids", "block").mapInArrow(batches, f"part int, seq int, id {kind}, offset long, n_tokens long, ids binary")
+    placed = read.join(F.broadcast(starts) if starts.count() <= BROADCAST_BLOCKS else starts, (F.col("part") == F.col("_part")) & (F.col("seq") == F.col("_seq")))
     return placed.select(F.col("id").alias(id_col), (F.col("block_start") + F.col("offset")).alias("start"), "n_tokens", "ids")
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = read_ids(*write_ids(table(spark, sf_dir, "documents")))
+    read = read_ids(spark, write_ids(table(spark, sf_dir, "documents")))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
