@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -526,6 +527,81 @@ def test_shots_are_found():
     assert np.flatnonzero(mjpeg.cuts_of(two, np.repeat([0, 35], 35))).tolist() == [0, 20, 35, 55]
 
 
+def plain_cuts(film):
+    """The shots of one film, by the rule as it reads."""
+    hists = [np.bincount(f >> 4, minlength=16) for f in film]
+    d = [int(abs(a - b).sum()) for a, b in zip(hists, hists[1:])]
+    cuts = [0]
+    for k, x in enumerate(d):
+        past = d[max(0, k - 8) : k]
+        if len(past) < 2:
+            cut = x > 576
+        else:
+            mean = Fraction(sum(past), len(past))
+            var = Fraction(sum(p * p for p in past), len(past)) - mean**2
+            cut = x > 138 and x > mean and (x - mean) ** 2 > 9 * var
+        cuts += [k + 1] * cut
+    return cuts
+
+
+def test_shots_do_not_depend_on_other_films():
+    rng = np.random.default_rng(4)
+    films = [rng.integers(0, rng.integers(20, 256), (rng.integers(1, 60), 576)).astype(np.uint8) for _ in range(60)]
+    for f in films[::2]:
+        for k in range(1, len(f), 5):
+            f[k:] = np.roll(f[k:], 7, axis=1) // rng.integers(1, 4)
+    steady = np.zeros((40, 576), np.uint8)
+    steady[1::2, :100] = 200  # a constant difference of 200
+    hard = np.zeros((3, 576), np.uint8)
+    hard[1:] = 255
+    films += [steady, hard, steady]
+    starts = np.cumsum([0, *map(len, films)])
+    cut = mjpeg.cuts_of(np.concatenate(films), np.repeat(starts[:-1], [len(f) for f in films]))
+    found = [np.flatnonzero(cut[a:b]).tolist() for a, b in zip(starts, starts[1:])]
+    assert found == [plain_cuts(f) for f in films] and any(len(x) > 1 for x in found)
+    assert found[-1] == found[-3] == [0] and found[-2] == [0, 1]
+
+
+def plain_image(samples):
+    """A lossless JPEG of one frame, sample by sample."""
+    bits = ""
+    for y in range(24):
+        for x in range(24):
+            d = int(samples[y, x]) - (int(samples[y, x - 1]) if x else int(samples[y - 1, 0]) if y else 128)
+            c = abs(d).bit_length()
+            code, n = mjpeg.CODES[c]
+            bits += f"{code:0{n}b}" + (f"{d if d > 0 else d + (1 << c) - 1:0{c}b}" if c else "")
+    bits += "1" * (-len(bits) % 8)
+    return mjpeg.HEADER + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0") + mjpeg.EOI
+
+
+def test_media_query(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    df = entry.queries()["op10_avi_mjpeg"](spark, sf_dir)
+    assert df.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string")]
+    got = {r["doc_id"]: r for r in df.collect()}
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for k, t in texts.items():
+        payload = t + b"\xff" * (-len(t) % 576 or (0 if t else 576))
+        r = got[k]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        film = np.frombuffer(payload, np.uint8).reshape(-1, 576)
+        ends = [*plain_cuts(film)[1:], len(film)]
+        assert r["feature"] == f"frames={len(film)};clips=" + ",".join(f"{a}-{b - 1}" for a, b in zip([0, *ends], ends))
+        if len(film) < 3:
+            media = mjpeg.avi([plain_image(x.reshape(24, 24)) for x in film])
+            assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_equal_texts_have_equal_media(spark, sf_dir):
+    other = table(spark, sf_dir, "documents").select("doc_id", "text").limit(30)
+    same = spark.range(30).select((F.col("id") + 10_000).alias("doc_id"), F.lit(LONG[:40_000]).alias("text"))
+    docs = other.union(same).orderBy(F.xxhash64("doc_id")).select("doc_id", F.col("text").cast("binary").alias("payload"))
+    read = mjpeg.read_media(mjpeg.write_media(docs)).where("doc_id >= 10000")
+    assert read.count() == 30 and read.select("media", "clips").distinct().count() == 1
+
+
 def test_media_round_trip(spark, odd, empty):
     docs = odd.select("doc_id", F.col("text").cast("binary").alias("payload"), F.col("text"))
     read = mjpeg.read_media(mjpeg.write_media(docs)).collect()

@@ -26,8 +26,11 @@ PAD = 255
 #: Code length of each difference category 0..8, chosen for text bytes.
 CODE_LENGTHS = {4: 2, 7: 2, 3: 3, 5: 3, 0: 4, 2: 4, 1: 5, 6: 5, 8: 6}
 FRAMES_AT_ONCE = 4096
-#: Histogram bins a frame; shots: a cut needs CUT_FLOOR and mean + CUT_SIGMA deviations of the last WINDOW differences.
-BINS, WINDOW, CUT_FLOOR, CUT_SIGMA = 16, 8, 0.12, 3.0
+#: Histogram bins a frame. Shots: a difference is the number of samples that change bins,
+#: counted on both sides (0 to 2 x FRAME). A cut is over CUT_FLOOR (12 %) and over the mean and
+#: CUT_SIGMA deviations of the film's last WINDOW differences; over CUT_HARD (half) where
+#: there are not two of them yet.
+BINS, WINDOW, CUT_FLOOR, CUT_HARD, CUT_SIGMA = 16, 8, 138, 576, 3
 CLIPS = "array<struct<clip:int,first_frame:int,last_frame:int,start_ms:int,end_ms:int>>"
 
 
@@ -206,19 +209,23 @@ def avi_frames(data: bytes) -> list[bytes]:
 def cuts_of(samples: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Where a shot begins. samples: frames of several films; first: for each frame,
     the number of its film's first frame. The threshold adapts to the mean and
-    deviation of the last WINDOW histogram differences of the same film."""
+    deviation of the last WINDOW histogram differences of the same film.
+
+    All in integers, so that the films beside a film do not show: with m differences of
+    sum s and sum of squares q, d > s/m + k * sqrt(q/m - (s/m)^2) is m*d - s > 0 and
+    (m*d - s)^2 > k^2 * (m*q - s^2)."""
     n = len(samples)
     at = np.arange(n)
     hist = np.bincount((at[:, None] * BINS + (samples >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
-    d = np.zeros(n)
-    d[1:] = np.abs(np.diff(hist, axis=0)).sum(1) / (2 * FRAME)
+    d = np.zeros(n, np.int64)
+    d[1:] = np.abs(np.diff(hist, axis=0)).sum(1)
     d[at == first] = 0
-    s, q = (np.concatenate([[0], np.cumsum(x)]) for x in (d, d * d))
-    low = np.maximum(first + 1, at - WINDOW)  # earlier differences of this film
-    m = np.maximum(at - low, 1)
-    mean = np.where(at > low, (s[at] - s[np.minimum(low, at)]) / m, 0)
-    var = np.where(at > low, (q[at] - q[np.minimum(low, at)]) / m - mean**2, 0)
-    return (at == first) | ((at - low >= 2) & (d > np.maximum(CUT_FLOOR, mean + CUT_SIGMA * np.sqrt(np.maximum(var, 0))) - 1e-12))
+    sums, squares = (np.concatenate([[0], np.cumsum(x)]) for x in (d, d * d))
+    low = np.minimum(np.maximum(first + 1, at - WINDOW), at)  # earlier differences of this film
+    m, s, q = at - low, sums[at] - sums[low], squares[at] - squares[low]
+    above = m * d - s
+    adaptive = (d > CUT_FLOOR) & (above > 0) & (above * above > CUT_SIGMA**2 * (m * q - s * s))
+    return (at == first) | np.where(m >= 2, adaptive, d > CUT_HARD)
 
 
 def clip_rows(cuts: list[int], n: int) -> list[dict]:
@@ -296,7 +303,8 @@ def read_media(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def clip_table(read: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One timed row a clip."""
+    """One timed row a clip: (id_col, clip, first_frame, last_frame, start_ms, end_ms).
+    Films without clips (null films) give no row; equal rows give equal rows."""
     return read.select(id_col, F.inline("clips"))
 
 
