@@ -181,7 +181,7 @@ def test_reconcile_gives_one_outcome_each_and_fails_closed(spark):
 
 
 def test_fail_closed_decides_the_whole_ledger(spark, sf_dir):
-    got = queries.QUERIES["fail_closed_ledger"](spark, sf_dir).agg(F.sum("n"), F.countDistinct("purpose")).first()
+    got = queries.QUERIES["fail_closed_decision"](spark, sf_dir).agg(F.sum("n"), F.countDistinct("purpose")).first()
     assert got[0] == 4 * ledger(spark, sf_dir).count() and got[1] == 4
 
 
@@ -247,7 +247,7 @@ def test_whole_job_queries_leave_no_fragment_out(spark, sf_dir):
     assert run("unfilled_ledger").agg(F.sum("n")).first()[0] == 4 * n
     hidden = run("uncovered_ledger").collect()
     assert len(hidden) == 4 and all(0 < r["n_covered"] <= n and r["n_uncovered"] == 0 for r in hidden)
-    assert run("redacted_lines_all").select("purpose").distinct().count() == 4
+    assert run("redacted_lines").select("purpose").distinct().count() == 4
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert run("short_id_codes_documents").count() == words(docs).count()
 

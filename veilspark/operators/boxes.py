@@ -9,28 +9,31 @@ from veilspark.operators.layout import with_lines
 from veilspark.schema import PADDING
 
 
-def merge_boxes(covered: DataFrame, padding: int = PADDING) -> DataFrame:
-    """(doc_id, line_no, run, x0, y0, x1, y1): padded boxes over runs of neighbours.
-
-    Lines are those of the covered fragments alone. In a line, in order of x, a
-    fragment goes on with the run if the gap to the one before is at most the larger
-    of their heights."""
-    lined = with_lines(covered)
-    w = Window.partitionBy("doc_id", "line_no").orderBy("x", F.col("y") + F.col("h") / 2, "seq")
+def merge_boxes(covered: DataFrame, padding: int = PADDING, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, line_no, run, x0, y0, x1, y1): padded boxes over runs of neighbours.
+
+    `keys` tell one page from another: the document, or document and purpose. Lines are
+    those of the covered fragments of a page alone. In a line, in order of x, a fragment
+    goes on with the run if the gap to the one before is at most the larger of their
+    heights."""
+    lined = with_lines(covered, keys)
+    w = Window.partitionBy(*keys, "line_no").orderBy("x", F.col("y") + F.col("h") / 2, "seq")
     gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(w)
     apart = gap > F.greatest("h", F.lag("h").over(w))
     runs = lined.withColumn("_new", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("run", F.sum("_new").over(w).cast("int"))
-    return runs.groupBy("doc_id", "line_no", "run").agg((F.min("x") - padding).alias("x0"), (F.min("y") - padding).alias("y0"), F.max(F.col("x") + F.col("w") + padding).alias("x1"), F.max(F.col("y") + F.col("h") + padding).alias("y1"))
+    return runs.groupBy(*keys, "line_no", "run").agg((F.min("x") - padding).alias("x0"), (F.min("y") - padding).alias("y0"), F.max(F.col("x") + F.col("w") + padding).alias("x1"), F.max(F.col("y") + F.col("h") + padding).alias("y1"))
 
 
-def uncovered(covered: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Covered fragments that no box of their document contains.
+def uncovered(covered: DataFrame, boxes: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Covered fragments that no box of their page contains.
 
     A fragment meets its own line's boxes first (lines as in merge_boxes), the other
-    boxes of its document only where those do not contain it."""
-    b = boxes.select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"), "x0", "y0", "x1", "y1")
-    inside = (F.col("doc_id") == F.col("_d")) & (F.col("x0") <= F.col("x")) & (F.col("y0") <= F.col("y")) & (F.col("x1") >= F.col("x") + F.col("w")) & (F.col("y1") >= F.col("y") + F.col("h"))
-    lined = with_lines(covered.drop("line_no"))
+    boxes of its page only where those do not contain it."""
+    b = boxes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("line_no").alias("_l"), "x0", "y0", "x1", "y1")
+    inside = (F.col("x0") <= F.col("x")) & (F.col("y0") <= F.col("y")) & (F.col("x1") >= F.col("x") + F.col("w")) & (F.col("y1") >= F.col("y") + F.col("h"))
+    for i, k in enumerate(keys):
+        inside = inside & (F.col(k) == F.col(f"_k{i}"))
+    lined = with_lines(covered.drop("line_no"), keys)
     left = lined.join(b, inside & (F.col("line_no") == F.col("_l")), "left_anti")
     return left.join(b, inside, "left_anti").drop("line_no")
 

@@ -20,12 +20,12 @@ def upper_median(values: Column) -> Column:
     return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
 
 
-def median_heights(frags: DataFrame) -> DataFrame:
-    """(doc_id, med): the upper median of the heights, from their distinct values and counts."""
-    counts = frags.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("doc_id")
+def median_heights(frags: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, med): the upper median of the heights, from their distinct values and counts."""
+    counts = frags.groupBy(*keys, "h").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
     upto = counts.withColumn("upto", F.sum("n").over(w.orderBy("h"))).withColumn("all", F.sum("n").over(w))
-    return upto.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("doc_id").agg(F.min("h").alias("med"))
+    return upto.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(*keys).agg(F.min("h").alias("med"))
 
 
 def with_rows(frags: DataFrame, ratio: float = ROW_RATIO) -> DataFrame:
@@ -36,25 +36,33 @@ def with_rows(frags: DataFrame, ratio: float = ROW_RATIO) -> DataFrame:
     return frags.withColumn("_new", F.coalesce(away, F.lit(False)).cast("int")).withColumn("row_no", F.sum("_new").over(w).cast("int")).drop("_new")
 
 
-def with_lines(frags: DataFrame) -> DataFrame:
+#: Line numbers that the fold of a document holds apart before it puts them away.
+FOLD_CHUNK = 256
+
+
+def with_lines(frags: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds line_no: a fragment joins the last line if its centre is within tolerance of
-    the line's mean centre so far, else it begins one.
+    the line's mean centre so far, else it begins one. `keys` tell one page from another.
 
     Fragments with the same centre always share a line, so the fold runs over the
-    distinct centres of a document with their counts, not over its fragments."""
-    centres = frags.groupBy("doc_id", centre().alias("c")).agg(F.count("*").alias("n"))
-    lists = centres.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("cs"))
+    distinct centres of a page with their counts, not over its fragments. Numbers are
+    put away by FOLD_CHUNK, since appending copies what it appends to."""
+    centres = frags.groupBy(*keys, centre().alias("c")).agg(F.count("*").alias("n"))
+    lists = centres.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("cs"))
     tolerance = F.greatest(F.col("med") / 2, F.lit(float(LINE_FLOOR)))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), F.lit(-1).alias("k"), F.array().cast("array<int>").alias("ks"))
+    none, chunks = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), F.lit(-1).alias("k"), none.alias("ks"), chunks.alias("done"))
 
     def step(a: Column, x: Column) -> Column:
         near = (a["n"] > 0) & (F.abs(x["c"] - a["s"] / a["n"]) <= F.col("med_tol"))
         k = a["k"] + F.when(near, 0).otherwise(1)
-        return F.struct((F.when(near, a["s"]).otherwise(0.0) + x["c"] * x["n"]).alias("s"), (F.when(near, a["n"]).otherwise(0) + x["n"]).cast("long").alias("n"), k.alias("k"), F.array_append(a["ks"], k).alias("ks"))
+        full = F.size(a["ks"]) >= FOLD_CHUNK
+        return F.struct((F.when(near, a["s"]).otherwise(0.0) + x["c"] * x["n"]).alias("s"), (F.when(near, a["n"]).otherwise(0) + x["n"]).cast("long").alias("n"), k.alias("k"), F.when(full, F.array(k)).otherwise(F.array_append(a["ks"], k)).alias("ks"), F.when(full, F.array_append(a["done"], a["ks"])).otherwise(a["done"]).alias("done"))
 
-    folded = lists.join(median_heights(frags), "doc_id").withColumn("med_tol", tolerance).withColumn("ks", F.aggregate("cs", start, step)["ks"])
-    lines = folded.select("doc_id", F.inline(F.arrays_zip(F.col("cs.c").alias("_c"), F.col("ks").alias("line_no"))))
-    return frags.withColumn("_c", centre()).join(lines, ["doc_id", "_c"]).drop("_c")
+    numbers = F.aggregate("cs", start, step, lambda a: F.flatten(F.array_append(a["done"], a["ks"])))
+    folded = lists.join(median_heights(frags, keys), list(keys)).withColumn("med_tol", tolerance).withColumn("ks", numbers)
+    lines = folded.select(*keys, F.inline(F.arrays_zip(F.col("cs.c").alias("_c"), F.col("ks").alias("line_no"))))
+    return frags.withColumn("_c", centre()).join(lines, [*keys, "_c"]).drop("_c")
 
 
 def joined_text(no: str) -> Column:

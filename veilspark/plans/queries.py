@@ -182,8 +182,8 @@ def rows_reconstruct_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines_sql(frags: str) -> str:
-    head = sql.steps(frags, sql.ROWS).replace("WITH ", "WITH RECURSIVE ", 1)
-    return head + """, o AS (SELECT r.doc_id, frag_id, c::DOUBLE AS c, greatest(med / 2, 6) AS tol, row_number() OVER (PARTITION BY r.doc_id ORDER BY c, x, seq) AS i FROM centred r JOIN heights USING (doc_id)),
+    """Lines fragment by fragment, where sql.lines folds over centres."""
+    return sql.steps(frags, sql.ROWS) + """, o AS (SELECT r.doc_id, frag_id, c::DOUBLE AS c, greatest(med / 2, 6) AS tol, row_number() OVER (PARTITION BY r.doc_id ORDER BY c, x, seq) AS i FROM centred r JOIN heights USING (doc_id)),
 fold AS (SELECT doc_id, i, frag_id, c AS s, 1 AS n, 0 AS line_no FROM o WHERE i = 1
   UNION ALL SELECT o.doc_id, o.i, o.frag_id, CASE WHEN abs(o.c - f.s / f.n) <= o.tol THEN f.s + o.c ELSE o.c END, CASE WHEN abs(o.c - f.s / f.n) <= o.tol THEN f.n + 1 ELSE 1 END, CASE WHEN abs(o.c - f.s / f.n) <= o.tol THEN f.line_no ELSE f.line_no + 1 END FROM fold f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i + 1)
 SELECT doc_id, frag_id, line_no FROM fold"""
@@ -327,15 +327,8 @@ def unfilled_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile_ledger(spark, sf_dir).groupBy("doc_id", "purpose").agg(F.count_if("unfilled").alias("n_unfilled"), F.count("*").alias("n"))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS doc_id, p.purpose, count(*) AS n FROM customer, (SELECT unnest(['proof_of_income', 'id_verification', 'proof_of_address', 'education_proof']) AS purpose) p, range(12) GROUP BY ALL")
-def fail_closed_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = ledger(spark, sf_dir).where("seq % 100 = 0 AND seq < 1200")
-    return decide.fail_closed(head, rules_of(spark)).where("outcome = 'redact'").groupBy("doc_id", "purpose").agg(F.count("*").alias("n"))
-
-
 @query(sql.steps(LEDGER_SQL, sql.RULES) + "SELECT doc_id, purpose, count(*) AS n FROM frags CROSS JOIN purposes GROUP BY ALL")
-def fail_closed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All fragments of the ledger; fail_closed_decision has its heading rows' first words only."""
+def fail_closed_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.fail_closed(ledger(spark, sf_dir), rules_of(spark)).where("outcome = 'redact'").groupBy("doc_id", "purpose").agg(F.count("*").alias("n"))
 
 
@@ -345,9 +338,9 @@ def decisions_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "purpose", "frag_id", "outcome", "pattern", "mask")
 
 
-@query(sql.plan(GOLDEN_SQL) + "SELECT doc_id, purpose, frag_id, ftype, outcome, pattern, mask, repaired FROM final WHERE doc_id NOT IN ('merchant', 'drift', 'sizes')")
+@query(sql.plan(GOLDEN_SQL) + "SELECT doc_id, purpose, frag_id, ftype, outcome, pattern, mask, repaired FROM final")
 def decisions_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided_golden(spark).where("doc_id NOT IN ('merchant', 'drift', 'sizes')").select("doc_id", "purpose", "frag_id", "ftype", "outcome", "pattern", "mask", "repaired")
+    return decided_golden(spark).select("doc_id", "purpose", "frag_id", "ftype", "outcome", "pattern", "mask", "repaired")
 
 
 _UNLABELLED = "typed AS (SELECT *, CAST(NULL AS VARCHAR) AS ftype FROM wide)"
@@ -366,9 +359,9 @@ def visible_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.summary(decided_ledger(spark, sf_dir))
 
 
-@query(sql.plan(GOLDEN_SQL) + "SELECT doc_id, purpose, count(*) FILTER (outcome = 'keep') AS n_visible, string_agg(CASE WHEN outcome = 'partial' THEN frag_id || '=' || mask END, ',' ORDER BY frag_id) AS masks FROM final WHERE doc_id NOT IN ('merchant', 'drift', 'sizes') GROUP BY ALL")
+@query(sql.plan(GOLDEN_SQL) + "SELECT doc_id, purpose, count(*) FILTER (outcome = 'keep') AS n_visible, string_agg(CASE WHEN outcome = 'partial' THEN frag_id || '=' || mask END, ',' ORDER BY frag_id) AS masks FROM final GROUP BY ALL")
 def plan_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = decide.results(decided_golden(spark)).where("doc_id NOT IN ('merchant', 'drift', 'sizes')")
+    r = decide.results(decided_golden(spark))
     entries = F.array_sort(F.map_entries("partial_masks"))
     return r.select("doc_id", "purpose", F.size("visible_ids").cast("long").alias("n_visible"), F.when(F.size(entries) > 0, F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")).alias("masks"))
 
@@ -407,55 +400,56 @@ def audit_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- boxes and texts ----------------------------------------------------------
 
-_BOXES = f""", covered AS (SELECT doc_id, seq, frag_id, x, y, w, h, c, row_no FROM final WHERE purpose = 'id_verification' AND outcome <> 'keep'),
-gaps AS (SELECT *, CASE WHEN x - lag(x + w) OVER o > greatest(h, lag(h) OVER o) THEN 1 ELSE 0 END AS brk FROM covered WINDOW o AS (PARTITION BY doc_id, row_no ORDER BY x, c, seq)),
-runs AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, row_no ORDER BY x, c, seq) AS run FROM gaps),
-boxes AS (SELECT doc_id, row_no, run, CAST(min(x) - {PADDING} AS INT) AS x0, CAST(min(y) - {PADDING} AS INT) AS y0, CAST(max(x + w) + {PADDING} AS INT) AS x1, CAST(max(y + h) + {PADDING} AS INT) AS y1 FROM runs GROUP BY ALL) """
+_BOXES = f""", covered AS MATERIALIZED (SELECT doc_id, purpose, seq, frag_id, x, y, w, h, c FROM final WHERE outcome <> 'keep'),
+{sql.lines("covered", "covered_lines", "doc_id, purpose").strip()},
+gaps AS (SELECT *, CASE WHEN x - lag(x + w) OVER o > greatest(h, lag(h) OVER o) THEN 1 ELSE 0 END AS brk FROM covered JOIN covered_lines USING (doc_id, purpose, frag_id) WINDOW o AS (PARTITION BY doc_id, purpose, line_no ORDER BY x, c, seq)),
+runs AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, purpose, line_no ORDER BY x, c, seq) AS run FROM gaps),
+boxes AS MATERIALIZED (SELECT doc_id, purpose, line_no, run, CAST(min(x) - {PADDING} AS INT) AS x0, CAST(min(y) - {PADDING} AS INT) AS y0, CAST(max(x + w) + {PADDING} AS INT) AS x1, CAST(max(y + h) + {PADDING} AS INT) AS y1 FROM runs GROUP BY ALL) """
+_HELD = ", held AS (SELECT c.doc_id, c.purpose, c.frag_id, count(b.doc_id) AS n FROM covered c LEFT JOIN boxes b ON b.doc_id = c.doc_id AND b.purpose = c.purpose AND x0 <= c.x AND y0 <= c.y AND x1 >= c.x + c.w AND y1 >= c.y + c.h GROUP BY ALL) SELECT purpose, count(*) AS n_covered, count(*) FILTER (n = 0) AS n_uncovered FROM held GROUP BY purpose"
+PAGE = ("doc_id", "purpose")
 
 
-def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided_ledger(spark, sf_dir).where("purpose = 'id_verification' AND outcome <> 'keep'").drop("line_no")
+def _uncovered(decided: DataFrame) -> DataFrame:
+    """Hidden words under each purpose, and those outside the boxes of their page."""
+    hidden = decided.where("outcome <> 'keep'").drop("line_no")
+    bad = uncovered(hidden, merge_boxes(hidden, keys=PAGE), PAGE).groupBy(F.col("purpose").alias("_p")).agg(F.count("*").alias("bad"))
+    n = hidden.groupBy("purpose").agg(F.count("*").alias("n_covered"))
+    return n.join(F.broadcast(bad), F.col("purpose") == F.col("_p"), "left").select("purpose", "n_covered", F.coalesce("bad", F.lit(0)).alias("n_uncovered"))  # a row a purpose
 
 
-@query(sql.plan(LEDGER_SQL) + _BOXES + "SELECT doc_id, x0, y0, x1, y1 FROM boxes")
+@query(sql.plan(LEDGER_SQL) + _BOXES + "SELECT doc_id, purpose, x0, y0, x1, y1 FROM boxes")
 def merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_boxes(_covered(spark, sf_dir)).select("doc_id", "x0", "y0", "x1", "y1")
+    covered = decided_ledger(spark, sf_dir).where("outcome <> 'keep'").drop("line_no")
+    return merge_boxes(covered, keys=PAGE).select("doc_id", "purpose", "x0", "y0", "x1", "y1")
 
 
-@query(sql.plan(GOLDEN_SQL) + ", covered AS (SELECT * FROM final WHERE purpose = 'id_verification' AND outcome <> 'keep') SELECT count(*) AS n_covered, 0::BIGINT AS n_uncovered FROM covered")
-def uncovered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    covered = decided_golden(spark).where("purpose = 'id_verification' AND outcome <> 'keep'").drop("line_no")
-    bad = uncovered(covered, merge_boxes(covered))
-    return covered.agg(F.count("*").alias("n_covered")).crossJoin(bad.agg(F.count("*").alias("n_uncovered")))
+@query(sql.plan(GOLDEN_SQL) + _BOXES + "SELECT doc_id, purpose, line_no, x0, y0, x1, y1 FROM boxes")
+def merged_boxes_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    covered = decided_golden(spark).where("outcome <> 'keep'").drop("line_no")
+    return merge_boxes(covered, keys=PAGE).select("doc_id", "purpose", "line_no", "x0", "y0", "x1", "y1")
 
 
-_ALL_BOXES = f""", covered AS (SELECT * FROM final WHERE outcome <> 'keep'),
-gaps AS (SELECT *, CASE WHEN x - lag(x + w) OVER o > greatest(h, lag(h) OVER o) THEN 1 ELSE 0 END AS brk FROM covered WINDOW o AS (PARTITION BY doc_id, purpose, row_no ORDER BY x, c, seq)),
-runs AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, purpose, row_no ORDER BY x, c, seq) AS run FROM gaps),
-boxes AS (SELECT doc_id, purpose, row_no, run, min(x) - {PADDING} AS x0, min(y) - {PADDING} AS y0, max(x + w) + {PADDING} AS x1, max(y + h) + {PADDING} AS y1 FROM runs GROUP BY ALL),
-held AS (SELECT c.doc_id, c.purpose, c.frag_id, count(b.doc_id) AS n FROM covered c LEFT JOIN boxes b ON b.doc_id = c.doc_id AND b.purpose = c.purpose AND x0 <= c.x AND y0 <= c.y AND x1 >= c.x + c.w AND y1 >= c.y + c.h GROUP BY ALL)
-SELECT purpose, count(*) AS n_covered, count(*) FILTER (n = 0) AS n_uncovered FROM held GROUP BY purpose"""
+@query(sql.plan(GOLDEN_SQL) + _BOXES + _HELD)
+def uncovered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uncovered(decided_golden(spark))
 
 
-@query(sql.plan(LEDGER_SQL) + _ALL_BOXES)
+@query(sql.plan(LEDGER_SQL) + _BOXES + _HELD)
 def uncovered_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hidden words of the whole ledger under each purpose, and those outside their boxes:
-    a document under a purpose has boxes of its own."""
-    hidden = decided_ledger(spark, sf_dir).where("outcome <> 'keep'").drop("line_no").withColumn("doc_id", F.concat_ws("/", "doc_id", "purpose"))
-    bad = uncovered(hidden, merge_boxes(hidden)).groupBy(F.col("purpose").alias("_p")).agg(F.count("*").alias("bad"))
-    n = hidden.groupBy("purpose").agg(F.count("*").alias("n_covered"))
-    return n.join(F.broadcast(bad), F.col("purpose") == F.col("_p"), "left").select("purpose", "n_covered", F.coalesce("bad", F.lit(0)).alias("n_uncovered"))
+    return _uncovered(decided_ledger(spark, sf_dir))
 
 
-@query(sql.plan(LEDGER_SQL) + "SELECT doc_id, purpose, row_no AS line_no, string_agg(CASE outcome WHEN 'keep' THEN text WHEN 'partial' THEN mask ELSE repeat('█', length(text)) END, ' ' ORDER BY x, c, seq) AS text FROM final GROUP BY ALL")
-def redacted_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """redacted_lines under all four purposes."""
-    return redacted_text(decided_ledger(spark, sf_dir))
+_SHOWN = "SELECT doc_id, purpose, line_no, string_agg(CASE outcome WHEN 'keep' THEN text WHEN 'partial' THEN mask ELSE repeat('█', length(text)) END, ' ' ORDER BY x, c, seq) AS text FROM final JOIN lined USING (doc_id, frag_id) GROUP BY doc_id, purpose, line_no"
 
 
-@query(sql.plan(LEDGER_SQL) + "SELECT doc_id, purpose, row_no AS line_no, string_agg(CASE outcome WHEN 'keep' THEN text WHEN 'partial' THEN mask ELSE repeat('█', length(text)) END, ' ' ORDER BY x, c, seq) AS text FROM final WHERE purpose IN ('id_verification', 'proof_of_income') GROUP BY ALL")
+@query(sql.plan(LEDGER_SQL) + _SHOWN)
 def redacted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redacted_text(decided_ledger(spark, sf_dir).where("purpose IN ('id_verification', 'proof_of_income')"))
+    return redacted_text(decided_ledger(spark, sf_dir))
+
+
+@query(sql.plan(GOLDEN_SQL) + _SHOWN)
+def redacted_lines_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted_text(decided_golden(spark))
 
 
 _ANY_PATTERN = " OR ".join(f"regexp_matches(text, {sql_value(p)})" for p in PATTERNS.values())
@@ -584,10 +578,9 @@ def cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLASSIFY = "CASE " + " ".join(f"WHEN {sql.any_of('text', w)} THEN {sql_value(k)}" for k, w in CLASSIFY_WORDS.items()) + " ELSE 'other' END"
 
 
-@query(sql.steps(GOLDEN_SQL, sql.ROWS) + f", line_text AS (SELECT doc_id, row_no, lower(string_agg(text, ' ' ORDER BY x, c, seq)) AS t FROM rowed WHERE doc_id NOT IN ('merchant', 'drift', 'sizes') GROUP BY doc_id, row_no), doc AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY row_no) AS text FROM line_text GROUP BY doc_id) SELECT doc_id, {_CLASSIFY} AS document_type FROM doc")
+@query(sql.steps(GOLDEN_SQL, sql.ROWS, sql.lines("frags", "lined")) + f", line_text AS (SELECT doc_id, line_no, lower(string_agg(text, ' ' ORDER BY x, c, seq)) AS t FROM rowed JOIN lined USING (doc_id, frag_id) GROUP BY doc_id, line_no), doc AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY line_no) AS text FROM line_text GROUP BY doc_id) SELECT doc_id, {_CLASSIFY} AS document_type FROM doc")
 def classify_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frags = with_lines(golden(spark).where("doc_id NOT IN ('merchant', 'drift', 'sizes')"))
-    return classify_by_words(row_texts(frags, "line_no"))
+    return classify_by_words(row_texts(with_lines(golden(spark)), "line_no"))
 
 
 @query(f"WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, lower(array_to_string(string_split(text, chr(10))[1:60], chr(10))) AS text FROM documents) SELECT doc_id, {_CLASSIFY} AS document_type FROM l")

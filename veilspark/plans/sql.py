@@ -5,6 +5,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from veilspark.plans.presets import BUILT_IN
 from veilspark.schema import (
@@ -13,6 +14,7 @@ from veilspark.schema import (
     FIELD_TYPES,
     LABEL_PHRASE,
     LEDGER_DATE,
+    LINE_FLOOR,
     MIN_HIDDEN,
     MONEY,
     NAME_ANCHORS,
@@ -130,13 +132,29 @@ POLICY = f"""
 looked AS (SELECT t.*, p.purpose, coalesce(r.outcome, 'redact') AS asked, coalesce(r.critical, false) AS critical, CASE WHEN r.outcome = 'partial' THEN {mask("t.text", "r.reveal", "r.format")} END AS mask FROM typed t CROSS JOIN purposes p LEFT JOIN rules r ON r.purpose = p.purpose AND r.ftype = t.ftype),
 policed AS (SELECT *, CASE WHEN asked = 'partial' AND mask IS NULL THEN 'redact' ELSE asked END AS outcome0, asked = 'partial' AND mask IS NULL AS unmaskable FROM looked)"""
 
+
+
+def lines(source: str, out: str, keys: str = "doc_id") -> str:
+    """`out`: (keys, frag_id, line_no) of the fragments in `source`, folded over their
+    distinct centres in order, as operators.layout.with_lines has it."""
+    same = " AND ".join(f"o.{k.strip()} = f.{k.strip()}" for k in keys.split(","))
+    own = ", ".join(f"o.{k.strip()}" for k in keys.split(","))
+    joins = "abs(o.lc - f.s / f.n) <= o.tol"
+    return f"""
+{out}_h AS (SELECT {keys}, list_sort(list(h))[len(list(h)) // 2 + 1] AS lmed FROM {source} GROUP BY ALL),
+{out}_c AS MATERIALIZED (SELECT {keys}, lc, tol, n, row_number() OVER (PARTITION BY {keys} ORDER BY lc) AS i FROM (SELECT {keys}, (y + h / 2)::DOUBLE AS lc, greatest(any_value(lmed) / 2, {LINE_FLOOR}) AS tol, count(*) AS n FROM {source} JOIN {out}_h USING ({keys}) GROUP BY {keys}, (y + h / 2)::DOUBLE)),
+{out}_fold AS (SELECT {keys}, i, lc, lc * n AS s, n, 0 AS line_no FROM {out}_c WHERE i = 1
+  UNION ALL SELECT {own}, o.i, o.lc, CASE WHEN {joins} THEN f.s ELSE 0 END + o.lc * o.n, CASE WHEN {joins} THEN f.n ELSE 0 END + o.n, f.line_no + CASE WHEN {joins} THEN 0 ELSE 1 END FROM {out}_fold f JOIN {out}_c o ON {same} AND o.i = f.i + 1),
+{out} AS MATERIALIZED (SELECT {keys}, frag_id, line_no FROM {source} s JOIN {out}_fold USING ({keys}) WHERE (s.y + s.h / 2)::DOUBLE = {out}_fold.lc)"""
+
+
 PATTERN_TABLE = "CASE " + " ".join(f"WHEN {found('text', p)} THEN {sql_value(k)}" for k, p in PATTERNS.items()) + " END"
-#: Lines of the golden and ledger layouts are their rows, except where a query says otherwise.
-NETS = f"""
-line_text AS (SELECT doc_id, row_no, row_text, row_centre, lag(row_centre) OVER o AS up, lead(row_centre) OVER o AS down, greatest(med * {NEAR_RATIO}::DOUBLE, {NEAR_FLOOR}) AS reach FROM row_flags JOIN heights USING (doc_id) WINDOW o AS (PARTITION BY doc_id ORDER BY row_no)),
-dob AS (SELECT * FROM line_text WHERE {any_of("row_text", DOB_ANCHORS)}),
-regions AS (SELECT doc_id, row_no FROM dob UNION ALL SELECT doc_id, row_no - 1 FROM dob WHERE abs(row_centre - up) <= reach UNION ALL SELECT doc_id, row_no + 1 FROM dob WHERE abs(row_centre - down) <= reach),
-context AS (SELECT r.doc_id, r.frag_id, r.row_no, regexp_extract(r.text, {sql_value(CONTEXT_DATE)}) AS matched_text FROM rowed r JOIN regions g USING (doc_id, row_no) WHERE {found("r.text", CONTEXT_DATE)}),
+NETS = f"""{lines("frags", "lined")},
+line_base AS (SELECT doc_id, line_no, upper(string_agg(text, ' ' ORDER BY x, c, seq)) AS line_text, avg(c) AS line_centre FROM rowed JOIN lined USING (doc_id, frag_id) GROUP BY doc_id, line_no),
+line_next AS (SELECT doc_id, line_no, line_text, line_centre, lag(line_centre) OVER o AS up, lead(line_centre) OVER o AS down, greatest(med * {NEAR_RATIO}::DOUBLE, {NEAR_FLOOR}) AS reach FROM line_base JOIN heights USING (doc_id) WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)),
+dob AS (SELECT * FROM line_next WHERE {any_of("line_text", DOB_ANCHORS)}),
+regions AS (SELECT doc_id, line_no FROM dob UNION ALL SELECT doc_id, line_no - 1 FROM dob WHERE abs(line_centre - up) <= reach UNION ALL SELECT doc_id, line_no + 1 FROM dob WHERE abs(line_centre - down) <= reach),
+context AS (SELECT r.doc_id, r.frag_id, regexp_extract(r.text, {sql_value(CONTEXT_DATE)}) AS matched_text FROM rowed r JOIN lined USING (doc_id, frag_id) JOIN regions g USING (doc_id, line_no) WHERE {found("r.text", CONTEXT_DATE)}),
 single AS (SELECT doc_id, frag_id, {PATTERN_TABLE} AS pattern FROM rowed WHERE {PATTERN_TABLE} IS NOT NULL),
 nets AS (SELECT r.doc_id, r.frag_id, s.pattern AS one, CASE WHEN c.frag_id IS NOT NULL THEN 'date_of_birth' END AS two FROM rowed r LEFT JOIN single s USING (doc_id, frag_id) LEFT JOIN (SELECT DISTINCT doc_id, frag_id FROM context) c USING (doc_id, frag_id))"""
 
@@ -147,8 +165,15 @@ decided AS (SELECT u.*, (purpose = 'proof_of_income' AND outcome1 = 'redact' AND
 final AS (SELECT *, CASE WHEN repaired THEN 'keep' ELSE outcome1 END AS outcome FROM decided)"""
 
 
+#: Steps that several others read: computed once, whatever the database would do with them.
+ONCE = ("frags", "centred", "rowed", "heights", "row_flags", "wide", "forced", "t_value", "own", "typed", "policed", "lined", "nets", "ruled", "decided", "final")
+
+
 def steps(*parts: str) -> str:
-    return "WITH " + ", ".join(p.strip() for p in parts) + " "
+    text = ", ".join(p.strip() for p in parts)
+    for name in ONCE:
+        text = text.replace(f"{name} AS (", f"{name} AS MATERIALIZED (") if text.startswith(f"{name} AS (") else re.sub(rf"(?<=[\s,(]){name} AS \(", f"{name} AS MATERIALIZED (", text)
+    return f"WITH RECURSIVE {text} "
 
 
 def plan(frags: str) -> str:
