@@ -8,7 +8,7 @@ from veilspark.functions.text import mask_value, match_type, pii_hits, short_id
 from veilspark.operators import anchors, decide, verify
 from veilspark.operators.boxes import merge_boxes, redacted_text, uncovered
 from veilspark.operators.cache import content_keys, hits, misses
-from veilspark.operators.layout import median_heights, row_texts, with_lines, with_rows
+from veilspark.operators.layout import laid_out, median_heights, row_texts, with_lines, with_rows
 from veilspark.operators.nets import context_hits, pattern_hits, with_nets
 from veilspark.plans import queries
 from veilspark.plans.pipeline import run_plan
@@ -148,6 +148,26 @@ def test_masks(spark, raw, reveal, template, mask):
     assert df.select(mask_value(F.col("raw"), F.col("reveal"), F.col("template"))).first()[0] == mask
 
 
+def test_geometry_equals_the_plain_rows_and_lines(spark):
+    rng = random.Random(9)
+    rows = [(f"d{rng.randrange(6)}", k, f"w{k:04d}", "t", rng.randrange(300), rng.randrange(0, 400, rng.choice([1, 7])), 10, rng.choice([8, 12, 13, 20, 41])) for k in range(900)]
+    rows += [("long", k, f"w{k:04d}", "t", 10, 9 * k + (k % 3), 10, 11 + k % 5) for k in range(700)]
+    frags = spark.createDataFrame(rows, FRAGS)
+    got = {(r["doc_id"], r["frag_id"]): (r["row_no"], r["line_no"], r["med"]) for r in laid_out(frags).collect()}
+    plain_rows = {(r["doc_id"], r["frag_id"]): r["row_no"] for r in with_rows(frags).collect()}
+    assert len(got) == len(rows)
+    for doc in {r[0] for r in rows}:
+        own = sorted((y + h / 2, x, k, h, f) for d, k, f, _, x, y, _, h in rows if d == doc)
+        heights = sorted(o[3] for o in own)
+        med = heights[len(heights) // 2]
+        line, total, n = -1, 0.0, 0
+        for c, _, _, _, f in own:
+            if not n or abs(c - total / n) > max(med / 2, 6):
+                line, total, n = line + 1, 0.0, 0
+            total, n = total + c, n + 1
+            assert got[doc, f] == (plain_rows[doc, f], line, med)
+
+
 def test_context_net(spark):
     near = context_hits(with_lines(layout(spark, [(10, "14/08/1999"), (40, "Date of Birth")])))
     assert [r["frag_id"] for r in near.collect()] == ["w0000"]

@@ -8,24 +8,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.text import contains_any, is_label_phrase, label_word
-from veilspark.operators.layout import median_heights, near, overlaps, row_flags
+from veilspark.functions.text import is_label_phrase, label_word
+from veilspark.operators.layout import medians, near, overlaps, with_row_flags
 from veilspark.schema import RETYPEABLE, VALUE_LABELS
 
 
-def labelled(frags: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled(frags: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Fragments with their rows' evidence and label: ftype is null without a label.
 
-    Labels of unknown fragments are dropped. One row for each fragment: the first
-    label by `ordinal`, if the labels have that column, counts."""
-    flags = row_flags(frags).withColumnsRenamed({"doc_id": "_d", "row_no": "_r"})
-    first = labels
-    if "ordinal" in labels.columns:
-        w = Window.partitionBy("doc_id", "frag_id").orderBy("ordinal")
-        first = labels.withColumn("_k", F.row_number().over(w)).where("_k = 1")
-    first = first.select(F.col("doc_id").alias("_ld"), F.col("frag_id").alias("_lf"), "ftype")
-    wide = frags.join(flags, (F.col("doc_id") == F.col("_d")) & (F.col("row_no") == F.col("_r"))).drop("_d", "_r")
-    return wide.join(first, (F.col("doc_id") == F.col("_ld")) & (F.col("frag_id") == F.col("_lf")), "left").drop("_ld", "_lf")
+    Without labels the fragments carry ftype themselves, and nothing is joined. Labels
+    of unknown fragments are dropped. One row for each fragment: of several labels the
+    first by `ordinal` counts, if the labels have that column, else the least."""
+    wide = with_row_flags(frags)
+    if labels is None:
+        return wide
+    order = F.struct("ordinal", "ftype") if "ordinal" in labels.columns else F.struct("ftype")
+    first = labels.groupBy(F.col("doc_id").alias("_ld"), F.col("frag_id").alias("_lf")).agg(F.min(order)["ftype"].alias("ftype"))
+    return wide.drop("ftype").join(first, (F.col("doc_id") == F.col("_ld")) & (F.col("frag_id") == F.col("_lf")), "left").drop("_ld", "_lf")
 
 
 def _retype(wide: DataFrame, condition: Column, to: str | Column) -> DataFrame:
@@ -46,10 +45,9 @@ def anchor_third_parties(wide: DataFrame) -> DataFrame:
     """Names on a row that names a relative, or if it holds none, on the row after it."""
     is_name = F.coalesce(F.col("ftype") == "name", F.lit(False))
     own = is_name & F.col("row_third_party") & ~is_label_phrase(label_word(F.col("text")))
-    row = Window.partitionBy("doc_id", "row_no")
-    empty = F.when(F.col("row_third_party") & (F.sum(F.col("_own").cast("int")).over(row) == 0), 1)
-    before = Window.partitionBy("doc_id").orderBy("row_no").rangeBetween(-1, -1)
-    marked = wide.withColumn("_own", own).withColumn("_empty", empty).withColumn("_after", F.max("_empty").over(before))
+    rows = Window.partitionBy("doc_id").orderBy("row_no")  # both frames are of one order: one sort
+    empty = F.when(F.col("row_third_party") & (F.sum(F.col("_own").cast("int")).over(rows.rangeBetween(0, 0)) == 0), 1)
+    marked = wide.withColumn("_own", own).withColumn("_empty", empty).withColumn("_after", F.max("_empty").over(rows.rangeBetween(-1, -1)))
     hit = F.col("_own") | (is_name & F.col("_after").isNotNull())
     return _retype(marked, hit, "father_name").drop("_own", "_empty", "_after")
 
@@ -59,23 +57,15 @@ def anchor_dates(wide: DataFrame) -> DataFrame:
     return _retype(wide, (F.col("ftype") == "date_of_birth") & ~F.col("row_dob") & (F.col("row_dated") | F.col("row_hinted")), "transaction_date")
 
 
-def label_groups(text: Column) -> Column:
-    """The number of the first value-label group that a row's text holds, else null."""
-    group = F.lit(None).cast("int")
-    for i, (anchors, _) in reversed(list(enumerate(VALUE_LABELS))):
-        group = F.when(contains_any(text, anchors), i).otherwise(group)
-    return group
-
-
 def forced_values(wide: DataFrame) -> DataFrame:
     """(doc_id, frag_id, forced): values that a printed field label types.
 
     A label row's values are the fragments after its last label word; if there are
     none, those of one of the two rows below it that is near and overlaps it in x.
     Only label rows meet their neighbours, by equality of document and row."""
-    rows = wide.select("doc_id", "row_no", "row_text", "row_centre", "row_x0", "row_x1").distinct()
-    titles = rows.withColumn("grp", label_groups(F.col("row_text"))).where("grp IS NOT NULL")
-    titles = titles.join(median_heights(wide), "doc_id").select(F.col("doc_id").alias("_d"), F.col("row_no").alias("title_no"), "grp", "med", F.col("row_centre").alias("tc"), F.col("row_x0").alias("tx0"), F.col("row_x1").alias("tx1"))
+    rows = medians(wide).where("row_group IS NOT NULL").withColumn("grp", F.col("row_group"))
+    titles = rows.select("doc_id", "row_no", "grp", "med", "row_centre", "row_x0", "row_x1").distinct().select(F.col("doc_id").alias("_d"), F.col("row_no").alias("title_no"), "grp", "med", F.col("row_centre").alias("tc"), F.col("row_x0").alias("tx0"), F.col("row_x1").alias("tx1"))
+    titles = titles.withColumnRenamed("med", "title_med")
     near_rows = titles.withColumn("offset", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("_r", F.col("title_no") + F.col("offset"))
     met = wide.select("doc_id", "row_no", "frag_id", "x", (F.col("y") + F.col("h") / 2).alias("c"), "seq", "text", "row_centre", "row_x0", "row_x1").join(near_rows, (F.col("doc_id") == F.col("_d")) & (F.col("row_no") == F.col("_r")))
     word = label_word(F.col("text"))
@@ -89,7 +79,7 @@ def forced_values(wide: DataFrame) -> DataFrame:
     is_label = (word != "") & (is_label_phrase(word) | inside)
     one = Window.partitionBy("doc_id", "title_no", "row_no")
     ordered = met.withColumn("_i", F.row_number().over(one.orderBy("x", "c", "seq"))).withColumn("_last", F.max(F.when(is_label, F.col("_i"))).over(one))
-    close = near(F.col("tc"), F.col("row_centre"), F.col("med"))
+    close = near(F.col("tc"), F.col("row_centre"), F.col("title_med"))
     values = ordered.withColumn("_value", F.col("_i") > F.coalesce("_last", F.lit(0))).withColumn("_close", close)
     values = values.withColumn("_fits", F.col("_value") & ((F.col("offset") == 0) | (close & overlaps(F.col("tx0"), F.col("tx1"), F.col("row_x0"), F.col("row_x1")))))
     title = Window.partitionBy("doc_id", "title_no")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import matches
+from veilspark.sources.tables import few
 from veilspark.schema import REPAIR_AMOUNT, REPAIR_NAME
 
 
@@ -66,7 +67,7 @@ def repair(decided: DataFrame) -> DataFrame:
 
 def fail_closed(frags: DataFrame, purposes: DataFrame) -> DataFrame:
     """Everything redacted, for documents whose labels cannot be had."""
-    return frags.select("doc_id", "frag_id").crossJoin(F.broadcast(purposes.select("purpose").distinct())).withColumn("outcome", F.lit("redact"))
+    return frags.select("doc_id", "frag_id").crossJoin(few(purposes.select("purpose").distinct())).withColumn("outcome", F.lit("redact"))
 
 
 def results(decided: DataFrame) -> DataFrame:

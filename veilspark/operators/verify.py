@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.text import mask_value, strip
+from veilspark.functions.text import mask_value, pii_hits, strip
 from veilspark.operators.nets import pii_ids
+from veilspark.sources.tables import few
 
 
 def visible_pii(decided: DataFrame, frags: DataFrame) -> DataFrame:
@@ -15,12 +16,19 @@ def visible_pii(decided: DataFrame, frags: DataFrame) -> DataFrame:
     return decided.where("outcome = 'keep'").join(hit, (F.col("doc_id") == F.col("_d")) & (F.col("frag_id") == F.col("_f")), "left_semi")
 
 
+def shown_pii(decided: DataFrame) -> DataFrame:
+    """(purpose, fragments, visible_pii) of decisions that carry net_two, in one pass: the
+    patterns are tried again on what is shown, the context net's finds are looked up."""
+    hit = (F.size(pii_hits(F.col("text"))) > 0) | F.col("net_two").isNotNull()
+    return decided.groupBy("purpose").agg(F.count("*").alias("fragments"), F.count_if((F.col("outcome") == "keep") & hit).alias("visible_pii"))
+
+
 def bad_masks(decided: DataFrame, rules: DataFrame) -> DataFrame:
     """Masked fragments whose mask no rule of the purpose gives, or that show more than the end of the value."""
     specs = rules.where("outcome = 'partial'").select(F.col("purpose").alias("_p"), F.col("reveal").alias("_rev"), F.col("format").alias("_fmt"))
     masked = decided.where("outcome = 'partial'")
     fits = (F.col("purpose") == F.col("_p")) & (F.col("mask") == mask_value(F.col("text"), F.col("_rev"), F.col("_fmt")))
-    wrong = masked.join(F.broadcast(specs), fits, "left_anti")
+    wrong = masked.join(few(specs), fits, "left_anti")
     shown = masked.where(~F.col("mask").endswith(F.right(strip(F.col("text")), F.lit(4))))
     return wrong.unionByName(shown).distinct()
 
@@ -31,7 +39,7 @@ def literal_matches(frags: DataFrame, cases: DataFrame) -> DataFrame:
     cases: doc_id, purpose, literal, kind. Joined by document first; the substring test
     is what remains."""
     c = cases.select(F.col("doc_id").alias("_d"), "purpose", "literal", "kind")
-    return frags.select("doc_id", "frag_id", "text").join(F.broadcast(c), (F.col("doc_id") == F.col("_d")) & F.contains(F.lower("text"), F.lower("literal"))).drop("_d", "text")
+    return frags.select("doc_id", "frag_id", "text").join(few(c), (F.col("doc_id") == F.col("_d")) & F.contains(F.lower("text"), F.lower("literal"))).drop("_d", "text")
 
 
 def case_failures(frags: DataFrame, decided: DataFrame, cases: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def policy_rules(presets: DataFrame) -> DataFrame:
     named = presets.select("purpose", F.explode(F.array_distinct(F.concat(_strings("keep_types"), _strings("redact_types"), _strings("critical"), F.coalesce(F.map_keys("partial_types"), F.array().cast("array<string>"))))).alias("ftype"), _strings("keep_types").alias("k"), _strings("redact_types").alias("r"), _strings("critical").alias("c"))
     named = named.withColumn("ftype", F.trim("ftype")).where("ftype <> ''").distinct()
     specs = partial_specs(presets).withColumnsRenamed({"purpose": "_p", "ftype": "_t"})
-    joined = named.join(F.broadcast(specs), (F.col("purpose") == F.col("_p")) & (F.col("ftype") == F.col("_t")), "left")  # a few rows a purpose
+    joined = named.join(specs, (F.col("purpose") == F.col("_p")) & (F.col("ftype") == F.col("_t")), "left")
     outcome = F.when(F.col("_t").isNotNull(), "partial").when(F.array_contains("k", F.col("ftype")) & ~F.array_contains("r", F.col("ftype")), "keep").otherwise("redact")
     return joined.select("purpose", "ftype", outcome.alias("outcome"), F.array_contains("c", F.col("ftype")).alias("critical"), "reveal", "format")
 

@@ -8,21 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.replies import document_type, failed_replies, label_lines, parse_audits, parse_labels, short_ids
-from veilspark.functions.text import clean_ids, mask_value, match_type, matches, may_hit, pii_hits
+from veilspark.functions.text import clean_ids, mask_value, match_type, matches, may_hit, pii_hits, rule_label
 from veilspark.operators import anchors, cache, decide, verify
 from veilspark.operators.boxes import merge_boxes, redacted_text, uncovered
 from veilspark.operators.layout import median_heights, near, overlaps, row_flags, row_of, row_texts, with_lines, with_rows
 from veilspark.operators.nets import context_hits, pii_ids
 from veilspark.operators.policy import apply_policy
 from veilspark.plans import sql
-from veilspark.plans.pipeline import laid_out, run_plan
+from veilspark.plans.pipeline import run_plan
 from veilspark.plans.presets import partial_specs, policy_matrix, policy_rules, read_presets, violations
 from veilspark.schema import BATCH, CLASSIFY_WORDS, DOCUMENT_TYPES, MAX_SIDE, MIN_SIDE, PADDING, PATTERNS
 from veilspark.sources.golden import GOLDEN_SQL, golden, sql_value, values
 from veilspark.sources.images import image_scale
 from veilspark.sources.ledger import LEDGER_SQL, ledger
 from veilspark.sources.model import classify_by_words, rule_labels
-from veilspark.sources.tables import table
+from veilspark.sources.tables import materialized, table
 from veilspark.sources.text import from_ocr, strip_tags, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,13 +44,17 @@ def rules_of(spark: SparkSession) -> DataFrame:
     return policy_rules(read_presets(spark))
 
 
+def marked(frags: DataFrame) -> DataFrame:
+    """Fragments with the rule labeler's label as a column: no join."""
+    return frags.withColumn("ftype", rule_label(F.col("text")))
+
+
 def wide_of(frags: DataFrame) -> DataFrame:
-    return anchors.labelled(with_rows(frags), rule_labels(frags))
+    return anchors.labelled(with_rows(marked(frags)))
 
 
 def decided_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frags = ledger(spark, sf_dir)
-    return run_plan(frags, rule_labels(frags), rules_of(spark))
+    return run_plan(materialized(marked(ledger(spark, sf_dir))), None, rules_of(spark))
 
 
 def decided_golden(spark: SparkSession) -> DataFrame:
@@ -639,10 +643,7 @@ def resolve_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.plan(LEDGER_SQL) + "SELECT purpose, count(*) AS fragments, count(*) FILTER (outcome = 'keep' AND (n.one IS NOT NULL OR n.two IS NOT NULL)) AS visible_pii FROM final JOIN nets n USING (doc_id, frag_id) GROUP BY purpose")
 def acceptance_pii_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = decided_ledger(spark, sf_dir)
-    bad = verify.visible_pii(decided, laid_out(ledger(spark, sf_dir))).groupBy(F.col("purpose").alias("_p")).agg(F.count("*").alias("bad"))
-    n = decided.groupBy("purpose").agg(F.count("*").alias("fragments"))
-    return n.join(F.broadcast(bad), F.col("purpose") == F.col("_p"), "left").select("purpose", "fragments", F.coalesce("bad", F.lit(0)).alias("visible_pii"))
+    return verify.shown_pii(decided_ledger(spark, sf_dir))
 
 
 @query(sql.plan(LEDGER_SQL) + "SELECT count(*) AS masked, count(*) FILTER (NOT ends_with(mask, right(trim(text), 4))) AS bad FROM final WHERE outcome = 'partial'")
