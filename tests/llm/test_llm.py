@@ -16,9 +16,10 @@ from veilspark.llm.common import prefix_sums, table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use themselves.
-CLASH = ["id", "size", "score", "shard", "taken", "node", "key", "range", "rank", "group", "kept", "n", "comp", "host", "ids"]
+CLASH = """id size score shard taken node key range rank group kept n comp host ids toxic label good _id _h _k _copies _range _source _epochs _cut _kept _kept_key
+_text_key _n _c _g _p _comp _node _doc _at _of _size _start _inside _total _r _left _g _ends _lang _chars part nid band sig words hits batch seq block all one deal""".split()
 LONG = " ".join(f"word{k % 4001}" for k in range(30_000))
-ODD = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, " \n\t ", None, "a", 3), (4, "one", "en", "b", 3), (5, "same text here with more than five words", "en", "a", 40), (6, "same text here with more than five words", "en", "a", 40), (6, "same text here with more than five words", "en", "a", 40), (7, LONG, "en", "hot", len(LONG)), (8, "é" * 5000, "fr", "hot", 5000), (None, "no id at all but some words in it", None, None, 30), (9, "1234 567 ### $$$", "de", "hot", 15)]
+ODD = [(1, None, "en", "a", 0), (1, None, "en", "a", 0), (2, "", "en", None, 0), (3, " \n\t ", None, "a", 3), (4, "one", "en", "b", 3), (5, "same text here with more than five words", "en", "a", 40), (6, "same text here with more than five words", "en", "a", 40), (6, "same text here with more than five words", "en", "a", 40), (7, LONG, "en", "hot", len(LONG)), (8, "é" * 5000, "fr", "hot", 5000), (None, "no id at all but some words in it", None, None, 30), (9, "1234 567 ### $$$", "de", "hot", 15)]
 
 
 @pytest.fixture(scope="module")
@@ -92,15 +93,28 @@ def test_jaccard_equals_brute_force_on_near_copies(spark):
                 copy[rng.randrange(len(copy))] = f"x{rng.randrange(9)}"
             texts[k], k = " ".join(copy), k + 1
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for block in (4, 256):
+    for block in (1, 4, 256):
         got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.link_classes(docs, jaccard.Settings(block=block)).collect()}
         assert got == brute_classes(texts)
 
 
+def test_chains_cost_their_length(spark):
+    words = [f"w{k}" for k in range(1200)]
+    texts = {k: " ".join(words[5 * k : 5 * k + 100]) for k in range(200)}  # each like the next ones only
+    s = jaccard.Settings(block=4)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.link_classes(docs, s).collect()} == brute_classes(texts)
+    classes = jaccard.sketches(docs, s, "doc_id", "text").select(F.col("id").alias("nid"), "sig")
+    placed = jaccard.blocks_of(classes.withColumn("comp", F.lit(0).cast("long")), s)
+    sizes = [r["count"] for r in placed.groupBy("part").count().collect()]
+    n = jaccard.meeting_blocks(jaccard.band_rows(classes, s), placed).count()
+    assert sum(sizes) == 200 and n < len(sizes) * (len(sizes) + 1) // 2 * 0.8
+
+
 def test_jaccard_odd_rows(odd, empty):
     got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.link_classes(odd).collect())
-    assert got[6, 5, 2] == 2 and got[5, 5, 2] == 1 and got[1, 1, 0] == 1 and got[None, None, 0] == 1 and got[2, 2, 1] == got[3, 2, 1] == 1
-    assert sorted(r["doc_id"] or 0 for r in jaccard.keep_one(odd).collect()) == [0, 1, 2, 4, 5, 7, 8, 9]
+    assert got[6, 5, 2] == 2 and got[5, 5, 2] == 1 and got[1, 1, 0] == 2 and got[None, None, 0] == 1 and got[2, 2, 1] == got[3, 2, 1] == 1
+    assert sorted(r["doc_id"] or 0 for r in jaccard.keep_one(odd).collect()) == [0, 1, 1, 2, 4, 5, 7, 8, 9]
     assert jaccard.keep_one(odd).columns == odd.columns
     assert jaccard.link_classes(empty).count() == jaccard.keep_one(empty).count() == 0
 

@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the
-    session; a temporary folder only where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session or
+    of its context. Where neither is set, a temporary folder serves one machine; on a
+    cluster that is an error, since each executor would write to a disk of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="veilspark-")
         atexit.register(shutil.rmtree, folder, True)
         where = "file://" + folder
@@ -30,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def unused(name: str, *taken: str) -> str:
+    """A column name like `name` that is none of `taken`, whatever the capitals."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of df: write it to the shared folder and read it again.
 

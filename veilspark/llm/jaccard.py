@@ -4,9 +4,11 @@
    from here on, so copies cost nothing more however many there are.
 2. MinHash bands propose candidates; a band's documents are linked to one centre, so
    a group of n gives n - 1 rows, never n^2. Linked documents form clusters.
-3. Inside a cluster, block by block, signatures are compared a few values at a time;
-   a pair is dropped once the posterior probability that it reaches the threshold
-   falls below a tolerance. What survives is verified on the exact sets.
+3. A cluster larger than a block is cut into blocks of like signatures, and only pairs
+   of blocks that share a band meet: a chain of documents costs its length, not its
+   square. Between two blocks signatures are compared a few values at a time; a pair is
+   dropped once the posterior probability that it reaches the threshold falls below a
+   tolerance. What survives is verified on the exact sets.
 4. Each block gives back, for each document, its number of links and its root in the
    block, so that no list of pairs ever exists. Verified roots form the classes."""
 
@@ -23,11 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import drop_written, table, written
+from veilspark.llm.common import drop_written, table, unused, written
 from veilspark.llm.components import components
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-NO_SHINGLES = xxhash.xxh128_digest(b"")
 CACHED_WORDS = 400_000
 
 
@@ -35,7 +36,8 @@ CACHED_WORDS = 400_000
 class Settings:
     """A pair at exactly the threshold shares no band with probability
     (1 - threshold**rows)**bands: 3e-6 at 0.8, less above. Pruning may lose
-    `tolerance` of what reaches the threshold at each look."""
+    `tolerance` of what reaches the threshold at each of its hashes / step looks: 1e-5
+    in all, so a pair at 0.8 is lost with a probability under 1.4e-5."""
 
     words: int = 5
     threshold: float = 0.8
@@ -99,15 +101,16 @@ def signature(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_key, node, size, sig): node names the class of texts with the same shingles."""
+    """(id, text_key, node, size, sig): node names the class of texts with the same
+    shingles, by a hash of 128 bits; null for a null text."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in it:
             nodes, sizes, sigs = [], [], []
-            for key, text in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True):
+            for text in batch.column(1).to_pylist():
                 h = shingles(text, hashes, s.words) if text is not None else np.empty(0, np.uint64)
-                nodes.append(xxhash.xxh128_digest(h.tobytes()) if text is not None else xxhash.xxh128_digest(f"no text {key}"))
+                nodes.append(xxhash.xxh128_digest(h.tobytes()) if text is not None else None)
                 sizes.append(len(h))
                 sigs.append(signature(h, s.hashes).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "text_key", "node", "size", "sig"])
@@ -117,38 +120,62 @@ def sketches(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFr
 
 
 def band_rows(classes: DataFrame, s: Settings) -> DataFrame:
-    """(band, node, centre). A class is linked to the smallest of its Arrow batch in
-    the same band at once; only one row for each band and batch is dealt out later
-    (centre null), so a band that very many share is small before any shuffle."""
+    """(band, nid, centre). A class is linked to the smallest of its Arrow batch in the
+    same band at once; only one row for each band and batch is dealt out later (centre
+    null), so a band that very many share is small before any shuffle."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            nodes = np.array(batch.column(0).to_pylist(), dtype=object)
-            order = np.argsort(nodes, kind="stable")
-            nodes = nodes[order]
+            nids = batch.column(0).to_numpy()
+            order = np.argsort(nids, kind="stable")
+            nids = nids[order]
             sig = np.frombuffer(b"".join(batch.column(1).take(pa.array(order)).to_pylist()), np.uint16).reshape(-1, s.bands, s.rows).astype(np.uint64)
             for b in range(s.bands):
-                key = np.full(len(nodes), np.uint64(b + 1))
+                key = np.full(len(nids), np.uint64(b + 1))
                 for r in range(s.rows):
                     key = key * PRIME + sig[:, b, r]
                 key = mixed(key).view(np.int64)
                 _, first, back = np.unique(key, return_index=True, return_inverse=True)
-                centre = first[back]  # the smallest node: they are in order
-                own = centre == np.arange(len(nodes))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(list(nodes), pa.binary()), pa.array([None if o else nodes[c] for o, c in zip(own.tolist(), centre.tolist(), strict=True)], pa.binary())], names=["band", "node", "centre"])
+                centre = first[back]  # the smallest: they are in order
+                own = centre == np.arange(len(nids))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nids), pa.array(nids[centre], mask=own)], names=["band", "nid", "centre"])
 
-    return classes.where("sig IS NOT NULL").select("node", "sig").mapInArrow(batches, "band long, node binary, centre binary")
+    return classes.where("sig IS NOT NULL").select("nid", "sig").mapInArrow(batches, "band long, nid long, centre long")
 
 
-def candidate_edges(classes: DataFrame, s: Settings) -> DataFrame:
-    rows = written(band_rows(classes, s), "bands")
-    near = rows.where("centre IS NOT NULL").select(F.col("node").alias("u"), F.col("centre").alias("v"))
-    firsts = rows.where("centre IS NULL").select("band", "node")
-    shared = written(firsts.groupBy(F.col("band").alias("_band")).agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("_band", "v"), "shared")
-    far = firsts.join(shared, F.col("band") == F.col("_band")).select(F.col("node").alias("u"), "v")  # a hot band's rows can be split over tasks
+def candidate_edges(rows: DataFrame) -> DataFrame:
+    near = rows.where("centre IS NOT NULL").select(F.col("nid").alias("u"), F.col("centre").alias("v"))
+    firsts = rows.where("centre IS NULL").select("band", "nid")
+    shared = written(firsts.groupBy(F.col("band").alias("_band")).agg(F.min("nid").alias("v"), F.count("*").alias("n")).where("n > 1").select("_band", "v"), "shared")
+    far = firsts.join(shared, F.col("band") == F.col("_band")).select(F.col("nid").alias("u"), "v")  # a hot band's rows can be split over tasks
     return near.union(far)
 
 
+def blocks_of(clusters: DataFrame, s: Settings) -> DataFrame:
+    """(nid, comp, sig, ...) -> the same with `part`: null in a cluster of one block at
+    most, else its block there. A class goes by its first MinHash value, which like
+    documents mostly share; what is still too many for a block is dealt by a hash. So
+    blocks come from counts alone, and nothing is sorted."""
+    sizes = clusters.groupBy(F.col("comp").alias("_c")).agg(F.count("*").alias("members"))
+    first = F.conv(F.hex(F.substring("sig", 1, 2)), 16, 10).cast("long")
+    parts = F.ceil(F.col("members") / s.block)
+    dealt = clusters.join(sizes, F.col("comp") == F.col("_c")).withColumn("group", F.when(parts > 1, F.pmod(first, parts))).drop("_c", "members")
+    groups = dealt.where("group IS NOT NULL").groupBy(F.col("comp").alias("_c"), F.col("group").alias("_g")).agg(F.count("*").alias("many"))
+    cut = dealt.join(groups, (F.col("comp") == F.col("_c")) & (F.col("group") == F.col("_g")), "left")
+    part = F.shiftleft("group", 24) + F.pmod(F.xxhash64("nid"), F.ceil(F.col("many") / s.block))
+    return cut.withColumn("part", F.when(F.col("group").isNotNull(), part)).drop("_c", "_g", "group", "many")
+
+
+def meeting_blocks(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """(comp, bi, bj), bi <= bj: blocks of the large clusters that share a band, and each
+    block with itself."""
+    large = placed.where("part IS NOT NULL").select(F.col("nid").alias("_n"), "comp", "part")
+    seen = written(rows.select("band", "nid").join(large, F.col("nid") == F.col("_n")).select("comp", "band", "part").distinct(), "block-bands")
+    other = seen.select(F.col("comp").alias("_c"), F.col("band").alias("_b"), F.col("part").alias("bj"))
+    shared = seen.join(other, (F.col("comp") == F.col("_c")) & (F.col("band") == F.col("_b")) & (F.col("part") <= F.col("bj"))).select("comp", F.col("part").alias("bi"), "bj")
+    return shared.distinct()
+
+
 @functools.lru_cache(maxsize=8)
 def least_matches(n: int, threshold: float, tolerance: float) -> int:
     """The fewest matches of n MinHash values with which a pair goes on.
@@ -220,17 +247,14 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def compare_block(rows: pa.Table, s: Settings) -> pa.Table:
-    """Links of one block pair: (node, root, links), a row for each document with links."""
-    data = rows.sort_by([("part", "ascending"), ("node", "ascending")])
+    """Links between two blocks, or within one: (nid, root, links), a row for each class with links."""
+    data = rows.sort_by([("part", "ascending"), ("nid", "ascending")])
     part = data["part"].to_numpy()
-    nodes, copies, size = data["node"].to_pylist(), data["copies"].to_numpy(), data["size"].to_numpy()
+    nids, copies, size = data["nid"].to_numpy(), data["copies"].to_numpy(), data["size"].to_numpy()
     sig = np.frombuffer(b"".join(data["sig"].to_pylist()), np.uint16).reshape(-1, s.hashes)
     sets = [np.frombuffer(x, np.uint64) for x in data["shingles"].to_pylist()]
     cut = int((part == part[0]).sum())
-    inner = data["one"][0].as_py()
-    if not inner and cut == len(part):
-        i = j = np.empty(0, np.int64)
-    elif inner:
+    if data["bi"][0] == data["bj"][0]:
         i, j = surviving_pairs(sig, sig, True, s)
     else:
         i, j = surviving_pairs(sig[:cut], sig[cut:], False, s)
@@ -241,10 +265,10 @@ def compare_block(rows: pa.Table, s: Settings) -> pa.Table:
     common = intersections(sets, sets, i, j)
     go = common >= s.threshold * (size[i] + size[j] - common) - 1e-9
     i, j = i[go], j[go]
-    links = np.bincount(i, copies[j], len(nodes)) + np.bincount(j, copies[i], len(nodes))
-    root = roots(len(nodes), i, j)
+    links = np.bincount(i, copies[j], len(nids)) + np.bincount(j, copies[i], len(nids))
+    root = roots(len(nids), i, j)
     some = np.flatnonzero(links)
-    return pa.table({"node": pa.array([nodes[k] for k in some], pa.binary()), "root": pa.array([nodes[root[k]] for k in some], pa.binary()), "links": pa.array(links[some].astype(np.int64))})
+    return pa.table({"nid": pa.array(nids[some]), "root": pa.array(nids[root[some]]), "links": pa.array(links[some].astype(np.int64))})
 
 
 def link_classes(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
@@ -253,62 +277,76 @@ def link_classes(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_i
     class_id is the smallest id of the rows linked to the row, directly or through
     others; n_links is the number of other rows with a Jaccard similarity of at
     least s.threshold, copies included. Defined cases: texts of fewer than s.words
-    words are one shingle; texts without words are equal to each other; a null text
-    links to nothing; rows with a null id are in no class (null) and have no links;
-    repeated rows count as copies; other columns are ignored."""
+    words are one shingle; texts without words are equal to each other; a row with a
+    null text is a class of its own and has no links, even to its like; rows with a null
+    id are in no class (null) and have no links; repeated rows count as copies; other
+    columns are ignored; an empty table gives an empty table."""
     return linked(docs, s, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "n_links")
 
 
 def linked(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_key, comp, class_id, n_links) of every row: comp names the class, which
-    class_id does not where an id has several texts; text_key is xxhash64 of the text."""
+    """(id, text_key, comp, class_id, n_links) of every row: comp names the class (null
+    without a text or id), which class_id does not where an id has several texts;
+    text_key is xxhash64 of the text."""
     sk = written(sketches(docs, s, id_col, text_col), "sketches")
-    given = sk.where("id IS NOT NULL")
-    classes = written(given.groupBy("node").agg(F.min(F.struct("id", "size", "sig")).alias("first"), F.count("*").alias("copies")).select("node", F.col("first.id").alias("id"), F.col("first.size").alias("size"), F.col("first.sig").alias("sig"), "copies"), "classes")
-    comps = components(candidate_edges(classes, s))
-    clusters = comps.union(comps.select(F.col("comp").alias("node"), "comp").distinct())
-    sizes = clusters.groupBy(F.col("comp").alias("_c")).agg(F.count("*").alias("members"))
-    placed = clusters.join(sizes, F.col("comp") == F.col("_c")).select(F.col("node").alias("_n"), "comp", F.ceil(F.col("members") / s.block).cast("int").alias("parts"))
-    candidates = classes.join(placed, F.col("node") == F.col("_n")).select(F.col("id").alias("_id"), "node", "size", "sig", "copies", "comp", "parts")
+    given = sk.where("id IS NOT NULL AND node IS NOT NULL")
+    firsts = given.groupBy("node").agg(F.min(F.struct("id", "size", "sig")).alias("first"), F.count("*").alias("copies"))
+    numbered = firsts.select(F.monotonically_increasing_id().alias("nid"), "node", F.col("first.id").alias("id"), F.col("first.size").alias("size"), F.col("first.sig").alias("sig"), "copies")
+    classes = written(numbered, "classes")  # written, so that numbers stay
+    rows = written(band_rows(classes, s), "bands")
+    comps = components(candidate_edges(rows))
+    clusters = comps.select(F.col("node").alias("_n"), "comp").union(comps.select(F.col("comp").alias("_n"), "comp").distinct())
+    candidates = classes.join(clusters, F.col("nid") == F.col("_n")).drop("_n")
+    placed = written(blocks_of(candidates, s), "blocks")
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
-    schema = "node binary, size long, sig binary, copies long, comp binary, parts int, shingles binary"
+    schema = "nid long, size long, sig binary, copies long, comp long, part long, shingles binary"
 
     def with_shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in it:
-            sets = [shingles(t, hashes, s.words).tobytes() for t in batch.column(6).to_pylist()]
-            own = pa.array([xxhash.xxh128_digest(x) == n for x, n in zip(sets, batch.column(0).to_pylist(), strict=True)])  # an id may have several texts
+            sets = [shingles(t, hashes, s.words).tobytes() for t in batch.column(7).to_pylist()]
+            own = pa.array([xxhash.xxh128_digest(x) == n for x, n in zip(sets, batch.column(6).to_pylist(), strict=True)])  # an id may have several texts
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(sets, pa.binary())], names=[*batch.schema.names[:6], "shingles"]).filter(own)
 
-    members = candidates.join(texts, F.col("_id") == F.col("_doc")).select("node", "size", "sig", "copies", "comp", "parts", "text").mapInArrow(with_shingles, schema).dropDuplicates(["node"])
-    members = members.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).otherwise(0))
-    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("comp", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "part", (F.col("part") == F.col("other")).alias("one"), "node", "size", "sig", "copies", "shingles")
-
-    def compared(rows: pa.Table) -> pa.Table:
-        return compare_block(rows, s)
-
-    found = written(spread.groupBy("comp", "bi", "bj").applyInArrow(compared, "node binary, root binary, links long"), "links")
-    links = found.groupBy(F.col("node").alias("_ln")).agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    info = classes.select("node", "id", "copies").join(links, F.col("node") == F.col("_ln"), "left").drop("_ln")
-    info = info.join(groups.select(F.col("node").alias("_gn"), "comp"), F.col("node") == F.col("_gn"), "left").select("node", "id", F.coalesce("comp", "node").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    met = placed.join(texts, F.col("id") == F.col("_doc")).select("nid", "size", "sig", "copies", "comp", "part", "node", "text")
+    members = written(met.mapInArrow(with_shingles, schema).dropDuplicates(["nid"]), "members")
+    pairs = meeting_blocks(rows, placed)
+    sides = pairs.select(F.col("comp").alias("_c"), "bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("_p"))
+    columns = ["comp", "bi", "bj", "part", "nid", "size", "sig", "copies", "shingles"]
+    large = members.where("part IS NOT NULL").join(sides, (F.col("comp") == F.col("_c")) & (F.col("part") == F.col("_p"))).select(columns)
+    zero = F.lit(0).cast("long")
+    small = members.where("part IS NULL").withColumns({"bi": zero, "bj": zero, "part": zero}).select(columns)
+
+    def compared(block: pa.Table) -> pa.Table:
+        return compare_block(block, s)
+
+    found = written(small.union(large).groupBy("comp", "bi", "bj").applyInArrow(compared, "nid long, root long, links long"), "links")
+    for done in (rows, placed, members):
+        drop_written(done)
+    links = found.groupBy(F.col("nid").alias("_ln")).agg(F.sum("links").alias("links"))
+    groups = components(found.select(F.col("nid").alias("u"), F.col("root").alias("v")))
+    info = classes.select("nid", "node", "id", "copies").join(links, F.col("nid") == F.col("_ln"), "left").drop("_ln")
+    info = info.join(groups.select(F.col("node").alias("_gn"), "comp"), F.col("nid") == F.col("_gn"), "left").select("node", "id", F.coalesce("comp", "nid").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     lowest = info.groupBy(F.col("comp").alias("_comp")).agg(F.min("id").alias("class_id"))
     named = info.join(lowest, F.col("comp") == F.col("_comp")).select(F.col("node").alias("_node"), "comp", "class_id", "n_links")
     result = sk.select("id", "text_key", "node").join(named, (F.col("node") == F.col("_node")) & F.col("id").isNotNull(), "left")
-    return result.select("id", "text_key", "comp", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return result.select("id", "text_key", "comp", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """The rows, with all their columns, without near duplicates: of each class the
     row with the smallest id stays (of its texts in the class, that with the smallest
-    hash; of repeated rows with that id and text, one); rows with a null id stay. An id
-    with unrelated texts is in several classes and may stay for each."""
+    hash; of repeated rows with that id and text, one); rows with a null id or text stay.
+    An id with unrelated texts is in several classes and may stay for each. An empty
+    table gives an empty table."""
     named = linked(docs, s, id_col, text_col)
-    kept = named.where("class_id = id").groupBy("comp").agg(F.min("id").alias("_kept"), F.min("text_key").alias("_kept_key"))
-    keyed = docs.where(F.col(id_col).isNotNull()).withColumn("_text_key", F.xxhash64(text_col))
-    left = keyed.join(kept, (F.col(id_col) == F.col("_kept")) & (F.col("_text_key") == F.col("_kept_key")), "left_semi")
-    return left.dropDuplicates([id_col, "_text_key"]).drop("_text_key").union(docs.where(F.col(id_col).isNull()))
+    kept = named.where("comp IS NOT NULL AND class_id = id").groupBy("comp").agg(F.min("id").alias("id"), F.min("text_key").alias("text_key"))
+    key, kept_id, kept_key = (unused(c, *docs.columns) for c in ("_text_key", "_kept", "_kept_key"))
+    known = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
+    keyed = docs.where(known).withColumn(key, F.xxhash64(text_col))
+    kept = kept.select(F.col("id").alias(kept_id), F.col("text_key").alias(kept_key))
+    left = keyed.join(kept, (F.col(id_col) == F.col(kept_id)) & (F.col(key) == F.col(kept_key)), "left_semi")
+    return left.dropDuplicates([id_col, key]).drop(key).union(docs.where(~known))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
