@@ -156,11 +156,11 @@ def blocks_of(clusters: DataFrame, s: Settings) -> DataFrame:
     most, else its block there. A class goes by its first MinHash value, which like
     documents mostly share; what is still too many for a block is dealt by a hash. So
     blocks come from counts alone, and nothing is sorted."""
-    sizes = clusters.groupBy(F.col("comp").alias("_c")).agg(F.count("*").alias("members"))
+    sizes = written(clusters.groupBy(F.col("comp").alias("_c")).agg(F.count("*").alias("members")).where(F.col("members") > s.block), "sizes")  # large clusters only; written, else the join would sit on the counts' dealing
     first = F.conv(F.hex(F.substring("sig", 1, 2)), 16, 10).cast("long")
     parts = F.ceil(F.col("members") / s.block)
-    dealt = clusters.join(sizes, F.col("comp") == F.col("_c")).withColumn("group", F.when(parts > 1, F.pmod(first, parts))).drop("_c", "members")
-    groups = dealt.where("group IS NOT NULL").groupBy(F.col("comp").alias("_c"), F.col("group").alias("_g")).agg(F.count("*").alias("many"))
+    dealt = clusters.join(sizes, F.col("comp") == F.col("_c"), "left").withColumn("group", F.when(parts > 1, F.pmod(first, parts))).drop("_c", "members")
+    groups = written(dealt.where("group IS NOT NULL").groupBy(F.col("comp").alias("_c"), F.col("group").alias("_g")).agg(F.count("*").alias("many")), "groups")
     cut = dealt.join(groups, (F.col("comp") == F.col("_c")) & (F.col("group") == F.col("_g")), "left")
     part = F.shiftleft("group", 24) + F.pmod(F.xxhash64("nid"), F.ceil(F.col("many") / s.block))
     return cut.withColumn("part", F.when(F.col("group").isNotNull(), part)).drop("_c", "_g", "group", "many")
@@ -327,7 +327,7 @@ def linked(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFram
     groups = components(found.select(F.col("nid").alias("u"), F.col("root").alias("v")))
     info = classes.select("nid", "node", "id", "copies").join(links, F.col("nid") == F.col("_ln"), "left").drop("_ln")
     info = info.join(groups.select(F.col("node").alias("_gn"), "comp"), F.col("nid") == F.col("_gn"), "left").select("node", "id", F.coalesce("comp", "nid").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    lowest = info.groupBy(F.col("comp").alias("_comp")).agg(F.min("id").alias("class_id"))
+    lowest = written(info.groupBy(F.col("comp").alias("_comp")).agg(F.min("id").alias("class_id")), "lowest")  # written as the sizes are
     named = info.join(lowest, F.col("comp") == F.col("_comp")).select(F.col("node").alias("_node"), "comp", "class_id", "n_links")
     result = sk.select("id", "text_key", "node").join(named, (F.col("node") == F.col("_node")) & F.col("id").isNotNull(), "left")
     return result.select("id", "text_key", "comp", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
