@@ -17,7 +17,7 @@ from veilspark.llm.common import prefix_sums, table
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use themselves.
 CLASH = """id size score shard taken node key range rank group kept n comp host ids toxic label good _id _h _k _copies _range _source _epochs _cut _kept _kept_key
-_text_key _n _c _g _p _comp _node _doc _at _of _size _start _inside _total _r _left _g _ends _lang _chars part nid band sig words hits batch seq block all one deal""".split()
+_text_key _n _c _g _p _comp _node _doc _at _of _size _start _inside _total _r _left _ends _lang _chars part nid band sig words hits batch seq block all one deal""".split()
 LONG = " ".join(f"word{k % 4001}" for k in range(30_000))
 ODD = [(1, None, "en", "a", 0), (1, None, "en", "a", 0), (2, "", "en", None, 0), (3, " \n\t ", None, "a", 3), (4, "one", "en", "b", 3), (5, "same text here with more than five words", "en", "a", 40), (6, "same text here with more than five words", "en", "a", 40), (6, "same text here with more than five words", "en", "a", 40), (7, LONG, "en", "hot", len(LONG)), (8, "é" * 5000, "fr", "hot", 5000), (None, "no id at all but some words in it", None, None, 30), (9, "1234 567 ### $$$", "de", "hot", 15)]
 

@@ -102,16 +102,19 @@ def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     taken, the row at a source's cut whole or not at all, whichever is nearer.
 
     Texts are never shuffled, but for those of the range with the cut, which find
-    their copies by (id, source, size)."""
+    their copies by (id, source, size). Defined cases as in mix(); rows of size 0 (null
+    texts and texts without words) give as many copies as their source has whole epochs;
+    columns may have any names; an empty table gives an empty table."""
     ranged, plan = _planned(docs, weights, share, most_epochs, seed, id_col, source_col, text_col, RANGES)
-    at = plan.select(F.col("_source"), F.col("epochs").alias("_epochs"), F.coalesce("cut_range", F.lit(-1)).alias("_cut"))
-    placed = docs.join(at, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_range", bucket_of(F.xxhash64(F.col(id_col), F.lit(seed)), RANGES))
-    whole = placed.where(F.col("_range") != F.col("_cut")).withColumn("_copies", F.col("_epochs") + F.when(F.col("_range") < F.col("_cut"), 1).otherwise(0))
-    split = _taken(ranged, plan).where("cut").groupBy(F.col("id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_of")) & (words(text_col) == F.col("_size"))
-    parted = placed.where(F.col("_range") == F.col("_cut")).join(split, same).select(*whole.columns)
-    every = whole.where("_copies > 0").union(parted.where("_copies > 0"))
-    return every.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))  # names of its own from here on
+    at = plan.select(F.col("_source"), F.col("epochs"), F.coalesce("cut_range", F.lit(-1)).alias("cut"))
+    placed = rows.join(at, F.col("source").eqNullSafe(F.col("_source"))).withColumn("range", bucket_of(F.xxhash64(F.col("id"), F.lit(seed)), RANGES))
+    whole = placed.where(F.col("range") != F.col("cut")).select("row", (F.col("epochs") + F.when(F.col("range") < F.col("cut"), 1).otherwise(0)).alias("copies"))
+    split = _taken(ranged, plan).where("cut").groupBy(F.col("id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_size")).agg(F.max("copies").alias("copies"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_of")) & (words("text") == F.col("_size"))
+    parted = placed.where(F.col("range") == F.col("cut")).join(split, same).select("row", "copies")
+    every = whole.where("copies > 0").union(parted.where("copies > 0"))
+    return every.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

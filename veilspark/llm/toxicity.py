@@ -254,7 +254,8 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
     lexicon is empty and every score is low."""
     known = labels.where(training & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    drawn = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), "toxic")
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    drawn = texts.join(F.broadcast(picked), F.col("id") == F.col("_id")).select("text", "toxic")  # at most sample_rows ids
     votes = drawn.groupBy(F.xxhash64("text").alias("_h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))  # copies of a text vote once
     sample = written(votes.select("text", "toxic"), "toxic-sample")
     model = ToxicityModel()
