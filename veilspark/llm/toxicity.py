@@ -25,8 +25,10 @@ from veilspark.llm.common import drop_written, id_remainder, table, written
 SAMPLE_ROWS = 20_000
 #: Letters of the word beginnings that may become terms, and of words that may be misspelled.
 PREFIX_LETTERS, FUZZY_LETTERS = (4, 7), 5
-#: A term: in this share of toxic rows and this many, so much likelier there, at this significance (G2).
-MIN_SHARE, MIN_ROWS, MIN_RATIO, MIN_G2 = 0.02, 3, 25.0, 25.0
+#: A term is in this many toxic rows at least.
+MIN_ROWS = 3
+#: Parts of the sample for cross-validation.
+FOLDS = 3
 MOST_WEIGHT = 6.0
 #: How much a quoted hit counts, without and with a word of reporting nearby.
 QUOTED, REPORTED = 0.6, 0.4
@@ -37,6 +39,21 @@ OPEN, CLOSE = "“«„‘", "”»“’"
 REPORTING = frozenset("said says wrote writes called quoted quote reported according dit écrit appelle selon sagte schrieb nannte laut dijo escribió llamó según".split())
 
 
+@dataclass(frozen=True)
+class Strictness:
+    """A term is in this share of toxic rows, so much likelier there than in clean ones,
+    at this significance (G2)."""
+
+    share: float
+    ratio: float
+    g2: float
+
+
+#: What cross-validation chooses from, the strictest first. Few terms in many rows ask
+#: for a strict rule, many terms in a few rows each for a loose one.
+GRID = (Strictness(0.02, 25, 25), Strictness(0, 25, 25), Strictness(0, 25, 15), Strictness(0, 10, 15))
+
+
 class Automaton:
     """The trie of the terms x the Levenshtein automaton, made deterministic as words are read.
 
@@ -184,20 +201,28 @@ def context(text: str, start: int, end: int) -> float:
 
 
 def counted(sample: DataFrame, wanted: frozenset | None) -> DataFrame:
-    """(term, toxic, n): rows of the sample with each term."""
+    """(term, fold, n): rows of each part of the sample with each term."""
     shared = sample.sparkSession.sparkContext.broadcast(wanted)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in it:
-            for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 terms = terms_of(text)
-                seen.update((t, toxic) for t in (terms if shared.value is None else terms & shared.value))
+                seen.update((t, fold) for t in (terms if shared.value is None else terms & shared.value))
         if seen:
             keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], names=["term", "toxic", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], names=["term", "fold", "n"])
+
+    return sample.select("text", "fold").mapInArrow(batches, "term string, fold int, n long").groupBy("term", "fold").agg(F.sum("n").alias("n"))
 
-    return sample.select("text", "toxic").mapInArrow(batches, "term string, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n"))
+
+def table_of(rows: list) -> dict[str, np.ndarray]:
+    """term -> its counts by fold."""
+    found: dict[str, np.ndarray] = {}
+    for r in rows:
+        found.setdefault(r["term"], np.zeros(FOLDS, np.int64))[r["fold"]] = r["n"]
+    return found
 
 
 def ratio(t: float, c: float, nt: int, nc: int) -> float:
@@ -211,10 +236,11 @@ def significance(t: int, c: int, nt: int, nc: int) -> float:
     return 2 * sum(o * math.log(o / e) for o, e in cells if o and e)
 
 
-def choose(toxic: dict[str, int], clean: dict[str, int], nt: int, nc: int) -> dict[str, float]:
+def choose(toxic: dict[str, int], clean: dict[str, int], nt: int, nc: int, strict: Strictness) -> dict[str, float]:
     """Weights of the lexicon's terms: of nested word beginnings the most significant one, or the
     word itself where it makes up most of what begins so."""
-    good = {t: min(MOST_WEIGHT, r) for t, n in toxic.items() if (r := ratio(n, c := clean.get(t, 0), nt, nc)) >= math.log(MIN_RATIO) and significance(n, c, nt, nc) >= MIN_G2}
+    least = max(MIN_ROWS, math.ceil(strict.share * nt))
+    good = {t: min(MOST_WEIGHT, r) for t, n in toxic.items() if n >= least and (r := ratio(n, c := clean.get(t, 0), nt, nc)) >= math.log(strict.ratio) and significance(n, c, nt, nc) >= strict.g2}
     words = [t for t in good if t[-1] != "*"]
     prefixes = sorted((t for t in good if t[-1] == "*"), key=lambda t: (-significance(toxic[t], clean.get(t, 0), nt, nc), len(t), t))
     kept: dict[str, float] = {}
@@ -231,8 +257,9 @@ def choose(toxic: dict[str, int], clean: dict[str, int], nt: int, nc: int) -> di
     return kept | {p: good[p] for p in chosen if p not in whole}
 
 
-def fit_line(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic regression by Newton's method, with a small ridge."""
+def fit_line(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    """Slope and offset of a logistic regression by Newton's method, with a small ridge,
+    and its log loss."""
     a, w = np.stack([x, np.ones_like(x)], 1), np.array([1.0, -2.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
@@ -242,34 +269,64 @@ def fit_line(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]
         w = w + np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-6:
             break
-    return float(max(w[0], 0.05)), float(w[1])
+    slope, offset = float(max(w[0], 0.05)), float(w[1])
+    z = np.clip(slope * x + offset, -30, 30)
+    return slope, offset, float((n * (np.log1p(np.exp(z)) - y * z)).sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learn the lexicon, its weights, the harmless look-alikes and the score.
 
     Learns from at most sample_rows labelled rows (the first by a hash of the id);
-    what comes to the driver is bounded by that sample. Copies of a text vote once.
-    Conflicting labels of an id or a text count as the largest; null labels and texts are left out. Without toxic rows the
-    lexicon is empty and every score is low."""
+    what comes to the driver is bounded by that sample. How strict the choice of terms
+    is (GRID) is settled by cross-validation inside the sample: each part is scored with
+    the terms of the others, and the log loss decides; ties go to the stricter. The score
+    is fitted on the same points.
+
+    Defined cases: copies of a text vote once; conflicting labels of an id or a text count
+    as the largest; null labels, ids and texts are left out; labels without a document do
+    not count; other columns of either table are ignored, whatever their names. Without
+    toxic rows the lexicon is empty and every score is low."""
     known = labels.where(training & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     drawn = texts.join(F.broadcast(picked), F.col("id") == F.col("_id")).select("text", "toxic")  # at most sample_rows ids
     votes = drawn.groupBy(F.xxhash64("text").alias("_h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))  # copies of a text vote once
-    sample = written(votes.select("text", "toxic"), "toxic-sample")
-    model = ToxicityModel()
-    size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    nt, nc = size.get(1, 0), size.get(0, 0)
+    sample = written(votes.select("text", "toxic", F.pmod("_h", F.lit(FOLDS)).cast("int").alias("fold")), "toxic-sample")
+    size = {kind: np.zeros(FOLDS, np.int64) for kind in (0, 1)}
+    for r in sample.groupBy("toxic", "fold").count().collect():
+        size[r["toxic"]][r["fold"]] = r["count"]
+    nt, nc = int(size[1].sum()), int(size[0].sum())
     if not nt:
         drop_written(sample)
-        return model
-    least = max(MIN_ROWS, math.ceil(MIN_SHARE * nt))
-    toxic = {r["term"]: r["n"] for r in counted(sample.where("toxic = 1"), None).where(F.col("n") >= least).collect()}
-    clean = {r["term"]: r["n"] for r in counted(sample.where("toxic = 0"), frozenset(toxic)).collect()}
-    model.weights = choose(toxic, clean, nt, nc)
+        return ToxicityModel()
+    often = {t: n for t, n in table_of(counted(sample.where("toxic = 1"), None).collect()).items() if n.sum() >= MIN_ROWS}
+    seldom = table_of(counted(sample.where("toxic = 0"), frozenset(often)).collect())
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    def lexicon(strict: Strictness, folds: list[int]) -> dict[str, float]:
+        of = lambda table: {t: int(n[folds].sum()) for t, n in table.items()}
+        return choose(of(often), of(seldom), int(size[1][folds].sum()), int(size[0][folds].sum()), strict)
+
+    spark = docs.sparkSession
+    tried = [[ToxicityModel(lexicon(strict, [f for f in range(FOLDS) if f != out])) for out in range(FOLDS)] for strict in GRID]
+    shared_tried = spark.sparkContext.broadcast(tried)
+
+    def evidence(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for k, models in enumerate(shared_tried.value):
+                x = [round(models[fold].evidence(text), 1) for text, _, fold in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), pa.int32()), pa.array(x, pa.float64()), batch.column(1)], names=["k", "x", "toxic"])
+
+    points = sample.select("text", "toxic", "fold").mapInArrow(evidence, "k int, x double, toxic int").groupBy("k", "x", "toxic").count().orderBy("k", "x", "toxic").collect()
+    fits = []
+    for k in range(len(GRID)):
+        own = [r for r in points if r["k"] == k]
+        fits.append(fit_line(np.array([r["x"] for r in own]), np.array([float(r["toxic"]) for r in own]), np.array([float(r["count"]) for r in own])))
+    chosen = min(range(len(GRID)), key=lambda k: (round(fits[k][2], 6), k))
+    strict = GRID[chosen]
+    model = ToxicityModel(lexicon(strict, list(range(FOLDS))), slope=fits[chosen][0], offset=fits[chosen][1])
+    shared = spark.sparkContext.broadcast(model)
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -277,18 +334,9 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.int32())], names=["word", "toxic"])
 
     alike = sample.select("text", "toxic").mapInArrow(near, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).collect()
-    model.harmless = frozenset(r["word"] for r in alike if r["c"] and ratio(r["t"], r["c"], nt, nc) < math.log(MIN_RATIO))
+    model.harmless = frozenset(r["word"] for r in alike if r["c"] and ratio(r["t"], r["c"], nt, nc) < math.log(strict.ratio))
     once = Counter(bool(r["t"]) for r in alike if r["t"] + r["c"] == 1)  # seen once: what unseen look-alikes are worth
     model.fuzzy_weight = min(max(ratio(once[True], once[False], nt, nc), 0.0), MOST_WEIGHT)
-    final = docs.sparkSession.sparkContext.broadcast(model)
-
-    def evidence(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            x = [round(final.value.evidence(t), 1) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], names=["x", "toxic"])
-
-    points = sample.select("text", "toxic").mapInArrow(evidence, "x double, toxic int").groupBy("x", "toxic").count().orderBy("x", "toxic").collect()
-    model.slope, model.offset = fit_line(np.array([r["x"] for r in points]), np.array([float(r["toxic"]) for r in points]), np.array([float(r["count"]) for r in points]))
     drop_written(sample)
     return model
 
@@ -310,7 +358,9 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that score under the threshold."""
+    """The rows, with all their columns, that score under the threshold; null and empty
+    texts score as texts without any hit. Repeated rows, null ids and columns of any
+    name pass; an empty table gives an empty table."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
