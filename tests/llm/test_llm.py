@@ -238,6 +238,25 @@ def test_mixing_targets_and_cuts(spark, sf_dir):
     assert taken == Counter({r["id"]: r["copies"] for r in rows if r["copies"]})
 
 
+def test_mixing_query_equals_the_plain_cut(spark, sf_dir):
+    df = entry.queries()["op5_mixing"](spark, sf_dir)
+    assert df.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")]
+    got = {r["doc_id"]: r for r in df.collect()}
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.xxhash64("doc_id", F.lit(mixing.SEED)).alias("key")).collect()
+    by = {}
+    for r in docs:
+        by.setdefault(r["source"], []).append((r["key"], r["doc_id"], len(words_of(r["text"]))))
+    names = sorted(by, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [sum(n for _, _, n in by[s]) for s in names]
+    for s, size, target in zip(names, sizes, py_targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(names))]), strict=True):
+        epochs = int(target // size) if size else 0
+        left = int(target) - epochs * size
+        for _, k, n in sorted(by[s]):
+            part = min(n, max(left, 0))
+            left -= n
+            assert (got[k]["size"], got[k]["source_size"], got[k]["taken"]) == (n, size, epochs * n + part) and abs(got[k]["target"] - target) < 1e-6 * target
+
+
 def test_mixing_odd_rows(odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and {r["taken"] for r in rows if r["size"] == 0} == {0}
@@ -327,6 +346,15 @@ def test_packing_fills_and_parts_few(level):
         assert sum(len(p) > 1 for p in groups.values()) < shards
 
 
+def test_sharding_query(spark, sf_dir):
+    df = entry.queries()["op6_sharding"](spark, sf_dir)
+    assert df.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")]
+    rows, texts = df.collect(), {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+    check_shards(rows, 24)
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)} and sorted(r["doc_id"] for r in rows) == sorted(texts)
+    assert all((r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]].encode()) + 8, zlib.crc32(texts[r["doc_id"]].encode())) for r in rows)
+
+
 def test_sharding_odd_rows(odd, empty):
     rows = sharding.shard(odd, 3).collect()
     assert len(rows) == len(ODD) and sharding.shard(empty).count() == 0
@@ -336,7 +364,7 @@ def test_sharding_odd_rows(odd, empty):
 # --- op7 ----------------------------------------------------------------------
 
 
-def plain_kneser_ney(texts, query):
+def plain_kneser_ney(texts, query, alphabet_of=None):
     """Bits a character by a dictionary implementation of the same model."""
     def chars(t):
         t = "".join(c.lower() if c.isalpha() else " " for c in t)
@@ -350,7 +378,12 @@ def plain_kneser_ney(texts, query):
     tables = [counts]
     for _ in range(3):
         tables.append(Counter(g[1:] for g in tables[-1]))
-    alphabet = len({g[-1] for g in counts})
+    alphabet = len({g[-1] for own in (alphabet_of or {"": texts}).values() for t in own for g in grams(t)})
+
+    def discount(t):
+        once, twice = (sum(v == k for v in t.values()) for k in (1, 2))
+        return min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
+
     total = 0.0
     asked = grams(query)
     for g in asked:
@@ -360,7 +393,7 @@ def plain_kneser_ney(texts, query):
             ctx = {k: v for k, v in t.items() if k[:-1] == key[:-1]}
             if ctx:
                 s = sum(ctx.values())
-                p = max(t.get(key, 0) - 0.75, 0) / s + 0.75 * len(ctx) / s * p
+                p = max(t.get(key, 0) - discount(t), 0) / s + discount(t) * len(ctx) / s * p
         total -= np.log2(p)
     return total / len(asked), len(asked)
 
@@ -385,10 +418,49 @@ def test_langid_learns_and_holds_out(spark, sf_dir, odd, empty):
     got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in langid.predict(odd, model).collect()}
     assert got[1] == got[2] == got[3] == ("und", True) and got[4][0] in model.langs
     assert langid.keep_identified(odd, model).columns == odd.columns and langid.predict(empty, model).count() == 0
+    foreign = {0: "Это русский текст о том, как люди живут в большом городе. " * 4, 1: "".join(random.Random(1).choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)), 2: "QmFzZTY0IGlzIG5vIGxhbmd1YWdl" * 20, 3: "qwzx jkvq", 4: "42 !"}
+    strange = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(list(foreign.items()), "doc_id long, text string"), model).collect()}
+    assert all(strange[k]["rejected"] and strange[k]["score"] < 0.01 for k in (0, 1, 2, 4)) and strange[4]["lang_pred"] == "und"
+    assert found.where("NOT rejected AND score < 0.5").count() <= 0.02 * docs.count()
     none = langid.train(empty, langid.is_training())
     assert {r["lang_pred"] for r in langid.predict(odd, none).collect()} == {"und"}
 
 
+def test_a_few_garbled_rows_lift_no_limit(spark):
+    rng = random.Random(7)
+    words = "the cat sat on a mat and then it ran to the old house by the sea where many dogs live".split()
+    rows = [(k, " ".join(rng.choice(words) for _ in range(40)), "en") for k in range(300)] + [(900 + k, "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(200)), "en") for k in range(3)]
+    rows += [(2000 + k, " ".join(rng.choice(["kala", "meri", "talo", "puu", "vesi"]) for _ in range(4)), "fi") for k in range(5)]  # a rare language of short texts
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    garbled = "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(300))
+    langs, scores, _, rejected = model.predict([rows[0][1], garbled, "kala meri talo", "kala " + garbled, None])
+    assert (langs[0], langs[2], langs[4]) == ("en", "fi", "und") and rejected.tolist() == [False, True, False, True, True]
+    assert set(model.limits) == {"en", ""} and scores[0] > 0.9 > 0.1 > scores[1]
+    tie = langid.train(spark.createDataFrame([(k, "one and the same", x) for k, x in enumerate(["b", "a"])], "doc_id long, text string, lang string"), F.lit(True))
+    assert tie.predict(["one and the same"])[0] == ["a"]
+
+
+def test_langid_query_equals_the_plain_model(spark, sf_dir):
+    df = entry.queries()["op7_langid"](spark, sf_dir)
+    assert df.dtypes[:4] == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    got = {r["doc_id"]: r for r in df.collect()}
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").collect()
+    training = {}
+    for r in docs:
+        held = zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1
+        assert got[r["doc_id"]]["held_out"] == held
+        if not held and r["lang"] is not None and r["text"] is not None:
+            training.setdefault(r["lang"], []).append(r["text"])
+    some = [r for r in docs if r["text"] and got[r["doc_id"]]["held_out"] and len(r["text"]) < 400][:4]
+    assert some
+    for r in some:  # each language's plain model over all training texts
+        alphabet_bits = {x: plain_kneser_ney(t, r["text"][:60], alphabet_of=training)[0] for x, t in training.items()}
+        h, _ = langid.train(table(spark, sf_dir, "documents"), langid.is_training()).entropies([r["text"][:60]]) if r is some[0] else (None, None)
+        if h is not None:
+            assert np.allclose(h[0], [alphabet_bits[x] for x in sorted(alphabet_bits)], atol=1e-4)
+            break
+
+
 # --- op8 ----------------------------------------------------------------------
 
 
@@ -422,6 +494,48 @@ def test_quotation_counts_less():
     assert plain == 6.0 and told < quoted < plain and wrong == 2.0 and model.evidence("a clean text") == 0.0
 
 
+def plain_evidence(model, text):
+    """The score by edit distances to every term, without any automaton."""
+    low, best, kinds = text.lower(), {}, {}
+    words = [t for t in model.weights if t[-1] != "*"]
+    begins = [t[:-1] for t in model.weights if t[-1] == "*"]
+    for m in toxicity.WORDS.finditer(low):
+        w = m[0]
+        hit = next(((p, 0) for n in range(1, len(w) + 1) for p in begins if p == w[:n]), None)
+        if hit is None:
+            near = sorted((distance(w, t), t) for t in words if w == t or len(t) >= toxicity.FUZZY_LETTERS and abs(len(w) - len(t)) < 2 and distance(w, t) <= 1)
+            hit = (near[0][1], near[0][0]) if near else None
+        if hit and not (hit[1] and w in model.harmless):
+            best[hit] = max(best.get(hit, 0.0), toxicity.context(low, m.start(), m.end()))
+            kinds.setdefault(hit, set()).add(w)
+    total = 0.0
+    for (term, edits), share in best.items():
+        weight = model.weights.get(term, model.weights.get(term + "*", 0.0))
+        total += share * (min(weight, model.fuzzy_weight) if edits else weight * (1 + np.log2(len(kinds[term, edits]))))
+    return total
+
+
+def test_toxicity_query_equals_the_plain_score_and_finds_held_out_rows(spark):
+    import os
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the larger tables")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    df = entry.queries()["op8_toxicity"](spark, sf)
+    assert df.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    rows = df.join(docs.select("doc_id", "text"), "doc_id").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", "left").collect()
+    assert len(rows) == docs.count() and all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    held = [r for r in rows if r["held_out"] and r["toxic"] is not None]
+    toxic, clean = ([r["predicted"] for r in held if (r["toxic"] > 0) == kind] for kind in (True, False))
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+    model = toxicity.train(docs, labels, toxicity.is_training())
+    for r in [r for r in held if r["predicted"]][:25] + held[:25]:
+        x = plain_evidence(model, r["text"])
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -40, 40)))) < 1e-9
+
+
 def test_toxicity_learns(spark, odd, empty):
     rng = random.Random(4)
     rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(30)) + (" stupid clown" if k % 8 == 0 else "")) for k in range(800)]
@@ -650,3 +764,26 @@ def test_pipeline_keeps_its_promises(spark, sf_dir):
     assert set(ids["mixing"]) <= set(ids["near-duplicates"]) and max(Counter(ids["mixing"]).values()) <= 2
     assert Counter(ids["encoding"]) == Counter(ids["mixing"])
     assert pipeline.run(spark, sf_dir).count() == len(ids["encoding"])
+
+
+def test_pipeline_takes_odd_tables(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(6)
+    words = "the cat sat on a mat and then it ran to the old house by the sea where many dogs live".split()
+    rows = [(100 + k, " ".join(rng.choice(words) for _ in range(30)) + (" stupid clown" if k % 6 == 0 else ""), "en", rng.choice(["a", "hot", None]), 1) for k in range(120)]
+    docs = spark.createDataFrame(rows + rows[1:3] + [(100, rows[5][1], "en", "a", 1)] + ODD, DOCS).select("*", *[F.lit("x").alias(c) for c in CLASH])
+    labels = spark.createDataFrame([(100 + k, 1, int(k % 6 == 0)) for k in range(120)] + [(None, None, 1), (1, 1, None)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("y"))
+    for name, given in (("odd", docs), ("empty", docs.where("false"))):
+        folder = str(tmp_path / name)
+        given.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        read = spark.read.parquet(f"{folder}/documents.parquet")
+        for step, stage in pipeline.STAGES[:-1]:
+            read = stage(spark, read, folder)
+            assert read.columns == docs.columns, step
+        out = pipeline.run(spark, folder)
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert (out.count() > 0) == (name == "odd")
+    kept = {r["doc_id"] for r in pipeline.run(spark, str(tmp_path / "odd")).collect()}
+    assert not kept & {1, 2, 3, 9} and not any(k and k >= 100 and (k - 100) % 6 == 0 for k in kept - {100})

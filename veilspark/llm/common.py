@@ -62,7 +62,7 @@ def drop_written(df: DataFrame) -> None:
 
 def id_remainder(id_col: str | Column, divisor: int) -> Column:
     """crc32 of the id written as text, modulo divisor (null ids: remainder of '')."""
-    return F.crc32(F.coalesce(F.col(id_col) if isinstance(id_col, str) else id_col, F.lit("")).cast("string")) % F.lit(divisor)
+    return F.crc32(F.coalesce((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string"), F.lit(""))) % F.lit(divisor)
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
