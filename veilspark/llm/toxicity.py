@@ -200,8 +200,8 @@ def context(text: str, start: int, end: int) -> float:
     return REPORTED if REPORTING & set(WORDS.findall(before + " " + after)) else QUOTED
 
 
-def counted(sample: DataFrame, wanted: frozenset | None) -> DataFrame:
-    """(term, fold, n): rows of each part of the sample with each term."""
+def counted(sample: DataFrame, wanted: frozenset | None, least: int) -> dict[str, np.ndarray]:
+    """term -> in how many rows of each part of the sample it is, for the terms in `least` rows or more."""
     shared = sample.sparkSession.sparkContext.broadcast(wanted)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,15 +214,11 @@ def counted(sample: DataFrame, wanted: frozenset | None) -> DataFrame:
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], names=["term", "fold", "n"])
 
-    return sample.select("text", "fold").mapInArrow(batches, "term string, fold int, n long").groupBy("term", "fold").agg(F.sum("n").alias("n"))
-
-
-def table_of(rows: list) -> dict[str, np.ndarray]:
-    """term -> its counts by fold."""
-    found: dict[str, np.ndarray] = {}
-    for r in rows:
-        found.setdefault(r["term"], np.zeros(FOLDS, np.int64))[r["fold"]] = r["n"]
-    return found
+    rows = sample.select("text", "fold").mapInArrow(batches, "term string, fold int, n long")
+    each = rows.groupBy("term").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(FOLDS)])
+    found = each.where(F.col("all") >= least).drop("all").toArrow()
+    table = np.stack([found[f"n{f}"].to_numpy() for f in range(FOLDS)], 1)
+    return dict(zip(found["term"].to_pylist(), table, strict=True))
 
 
 def ratio(t: float, c: float, nt: int, nc: int) -> float:
@@ -300,8 +296,11 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
     if not nt:
         drop_written(sample)
         return ToxicityModel()
-    often = {t: n for t, n in table_of(counted(sample.where("toxic = 1"), None).collect()).items() if n.sum() >= MIN_ROWS}
-    seldom = table_of(counted(sample.where("toxic = 0"), frozenset(often)).collect())
+    # Terms in fewer toxic rows are not significant by the loosest rule even if no clean row has them.
+    loosest = min(strict.g2 for strict in GRID)
+    least = next((n for n in range(MIN_ROWS, nt) if significance(n, 0, nt, nc) >= loosest), MIN_ROWS)
+    often = counted(sample.where("toxic = 1"), None, least)
+    seldom = counted(sample.where("toxic = 0"), frozenset(often), 1)
 
     def lexicon(strict: Strictness, folds: list[int]) -> dict[str, float]:
         of = lambda table: {t: int(n[folds].sum()) for t, n in table.items()}
