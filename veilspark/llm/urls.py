@@ -9,8 +9,9 @@ from veilspark.llm.common import table, written
 
 #: (verdict, rule): the rules of the query; a rule is a host and the start of a path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Public suffixes of two labels, whose registered domains have three.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.za")
+#: Under a country's two letters these labels are registries, not registrants: a rule for
+#: suffixes of two labels (co.uk, com.mx, gov.in), whose registered domains have three.
+REGISTRIES = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "govt", "gv", "id", "info", "ltd", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch", "school")
 #: A host passes if the lower bound of its posterior, Z deviations under the mean, reaches THRESHOLD.
 THRESHOLD, Z = 0.5, 1.645
 #: Least and greatest correlation of outcomes within a unit, so that priors stay proper.
@@ -30,15 +31,17 @@ def path_of(url: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    """The registered domain: the last two labels, three under a two-label suffix; ports are no part of it."""
+    """The registered domain: the last two labels, three where the last two are a
+    country's registry. A port is no part of it; an address of numbers is its own domain."""
     name = F.regexp_replace(host, ":[0-9]*$", "")
     two = F.substring_index(name, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
+    registry = (F.length(F.substring_index(name, ".", -1)) == 2) & F.substring_index(two, ".", 1).isin(*REGISTRIES) & F.contains(two, F.lit("."))
+    return F.when(name.rlike(r"^[0-9.]+$"), name).when(registry, F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def suffix_of(domain: Column) -> Column:
-    """What follows a domain's first dot; the domain itself if it has none."""
-    return F.when(F.instr(domain, ".") > 0, F.regexp_replace(domain, r"^[^.]*\.", "")).otherwise(domain)
+    """What follows a domain's first dot; the domain itself if it has none or is an address of numbers."""
+    return F.when((F.instr(domain, ".") > 0) & ~domain.rlike(r"^[0-9.]+$"), F.regexp_replace(domain, r"^[^.]*\.", "")).otherwise(domain)
 
 
 def matching_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
@@ -75,7 +78,9 @@ def reputations(hosts: DataFrame, threshold: float = THRESHOLD, z: float = Z) ->
     Beta-binomial shrinkage down the hierarchy: all outcomes, suffixes, registered
     domains, hosts; each level's prior is centred on the posterior mean of the level
     above and its strength is fitted by moments over all units of the level. bound is
-    the mean less z standard deviations of the posterior beta distribution."""
+    the mean less z standard deviations of the posterior beta distribution; near 0 and 1
+    and for few outcomes that is rough, but never above the mean. Hosts are expected
+    once each; hosts without outcomes have the prior; an empty table gives an empty one."""
     named = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
     domains = named.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
@@ -133,16 +138,16 @@ def _sql_level(name: str, units: str, key: str) -> str:
 
 
 RULE_SQL, SAID_SQL = _sql_rules()
-_TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+_REGISTRIES = ", ".join(f"'{x}'" for x in REGISTRIES)
 ORACLE = f"""
 WITH read AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '{HOST}', 1), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(url, '{PATH}', 1), '') AS path FROM pages),
 known AS (SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
 hosts AS (SELECT host, count(good) AS n, coalesce(sum(good), 0) AS s FROM read LEFT JOIN known ON page_id = doc_id GROUP BY host),
-parts AS (SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS labels FROM hosts),
-two AS (SELECT *, array_to_string(labels[-2:], '.') AS last2 FROM parts),
-named AS (SELECT host, n, s, CASE WHEN last2 IN ({_TWO}) THEN array_to_string(labels[-3:], '.') ELSE last2 END AS domain FROM two),
-suffixed AS (SELECT *, CASE WHEN contains(domain, '.') THEN regexp_replace(domain, '^[^.]*\\.', '') ELSE domain END AS suffix FROM named),
+parts AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM hosts),
+two AS (SELECT *, string_split(name, '.') AS labels FROM parts),
+named AS (SELECT host, n, s, CASE WHEN regexp_full_match(name, '[0-9.]+') THEN name WHEN len(labels) > 1 AND length(labels[-1]) = 2 AND labels[-2] IN ({_REGISTRIES}) THEN array_to_string(labels[-3:], '.') ELSE array_to_string(labels[-2:], '.') END AS domain FROM two),
+suffixed AS (SELECT *, CASE WHEN contains(domain, '.') AND NOT regexp_full_match(domain, '[0-9.]+') THEN regexp_replace(domain, '^[^.]*\\.', '') ELSE domain END AS suffix FROM named),
 domain_sums AS (SELECT domain, suffix, sum(n) AS n, sum(s) AS s FROM suffixed GROUP BY ALL),
 suffix_sums AS (SELECT suffix, sum(n) AS n, sum(s) AS s FROM domain_sums GROUP BY ALL),
 {_sql_level("top", "SELECT suffix, n::DOUBLE AS n, s::DOUBLE AS s, (SELECT (sum(s) + 1) / (sum(n) + 2) FROM suffix_sums) AS m FROM suffix_sums", "suffix")},
