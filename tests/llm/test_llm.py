@@ -58,6 +58,12 @@ def test_reputation_shrinks_towards_the_parent(spark):
     assert got["a.y.com"]["reputable"] and not got["a.x.com"]["reputable"]
 
 
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.gob.mx:8080": ("x.gob.mx", "gob.mx"), "www.example.com": ("example.com", "com"), "co.uk": ("co.uk", "uk"), "localhost": ("localhost", "localhost"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "": ("", ""), "t.co": ("t.co", "co"), "net.io": ("net.io", "io")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string").withColumn("d", urls.domain_of(F.col("host"))).withColumn("s", urls.suffix_of(F.col("d")))
+    assert {r["host"]: (r["d"], r["s"]) for r in df.collect()} == hosts
+
+
 # --- op2 ----------------------------------------------------------------------
 
 
@@ -171,6 +177,13 @@ def test_quality_base_counts_equal_plain_python(spark, sf_dir, odd, empty):
     assert kept[1] is False and kept[2] is False
 
 
+def test_common_words_are_counted_whatever_their_capitals(spark):
+    df = spark.createDataFrame([(1, "The cat, and THE dog. the! Und so;weiter und, the-", "en")], "doc_id long, text string, lang string")
+    common = quality.features(df).first()["common"]
+    got = {w: n for w, n in zip(quality.WORDS, common) if n}
+    assert got == {"the": 3, "and": 1, "und": 2} and common[-1] == len(words_of(df.first()["text"])) - 6
+
+
 def test_js_distance(spark):
     p, q = [0.5, 0.5, 0.0], [0.0, 0.5, 0.5]
     df = spark.createDataFrame([(p, q), (p, p)], "p array<double>, q array<double>").select(quality.js_distance(F.col("p"), F.col("q")).alias("d"))

@@ -22,7 +22,10 @@ GUARD_CHARS, GUARD_WORDS = 30, 100
 MOST_CHARS, MOST_WORDS = 0.25, 0.30
 #: Languages whose references are broadcast; more are joined by shuffle.
 BROADCAST_LANGS = 10_000
-#: Common words of four languages.
+#: Signs after a word that are no part of it where common words are counted.
+STOPS = ".,;:!?"
+#: Common words of four languages. They are counted whatever their capitals
+#: and with STOPS after them.
 COMMON = {
     "en": "the of and to in is that it for was on are with as be at by this".split(),
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein".split(),
@@ -68,7 +71,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, common).
 
     chars: counts of upper-case letters, digits, stops, symbols, white space and the
-    rest; common: counts of WORDS and of all other words."""
+    rest; common: counts of WORDS, whatever their capitals and the stops after them, and
+    of all other words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.btrim(text, F.lit(SPACES))
     given = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP)).alias("words"))
@@ -83,7 +87,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.regexp_count("text", F.lit(SYMBOLS)).alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        let(F.filter("words", lambda w: w.isin(*WORDS)), lambda hits: F.struct(F.size(hits).alias("n"), F.concat(F.lit(" "), F.array_join(hits, "  "), F.lit(" ")).alias("all"))).alias("hits"),
+        let(F.filter(F.transform("words", lambda w: F.lower(F.rtrim(w, F.lit(STOPS)))), lambda w: w.isin(*WORDS)), lambda hits: F.struct(F.size(hits).alias("n"), F.concat(F.lit(" "), F.array_join(hits, "  "), F.lit(" ")).alias("all"))).alias("hits"),
         *counts,
     )
     known, size = F.col("hits.n"), F.octet_length("hits.all")
@@ -166,7 +170,7 @@ base AS (
 char_bins AS (
   {" UNION ALL ".join(f"SELECT doc_id, lang, '{k}' AS bin, {k} AS n FROM base" for k in (*CLASSES, "n_symbols"))}
   UNION ALL SELECT doc_id, lang, 'space', chars - word_chars FROM base UNION ALL SELECT doc_id, lang, 'rest', word_chars - n_symbols - {" - ".join(CLASSES)} FROM base),
-hits AS (SELECT doc_id, w AS bin, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM texts) WHERE w IN ({_sql_list(WORDS)}) GROUP BY ALL),
+hits AS (SELECT doc_id, w AS bin, count(*) AS n FROM (SELECT doc_id, lower(rtrim(unnest(ws), '{STOPS}')) AS w FROM texts) WHERE w IN ({_sql_list(WORDS)}) GROUP BY ALL),
 words AS (SELECT unnest([{_sql_list(WORDS)}]) AS bin),
 word_bins AS (
   SELECT b.doc_id, b.lang, w.bin, coalesce(h.n, 0) AS n FROM base b CROSS JOIN words w LEFT JOIN hits h ON h.doc_id = b.doc_id AND h.bin = w.bin
