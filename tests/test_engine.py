@@ -7,7 +7,7 @@ from veilspark.functions.replies import document_type, parse_labels
 from veilspark.functions.text import mask_value, match_type, pii_hits, short_id
 from veilspark.operators import anchors, decide, verify
 from veilspark.operators.boxes import merge_boxes, redacted_text, uncovered
-from veilspark.operators.cache import content_keys, hits, misses
+from veilspark.operators.cache import clear_store, content_keys, hits, labels_through, misses, read_store
 from veilspark.operators.layout import laid_out, median_heights, row_texts, with_lines, with_rows
 from veilspark.operators.nets import context_hits, pattern_hits, with_nets
 from veilspark.plans import queries
@@ -16,8 +16,8 @@ from veilspark.plans.presets import checked, policy_matrix, policy_rules, read_p
 from veilspark.schema import FIELD_TYPES
 from veilspark.sources.golden import golden
 from veilspark.sources.ledger import ledger
-from veilspark.sources.model import asked, http_labels, rule_labels
-from veilspark.sources.text import fragments, from_ocr, words
+from veilspark.sources.model import asked, halves, http_classes, http_flags, http_labels, reachable, rule_labels, warm_up
+from veilspark.sources.text import dropped_words, fragments, from_ocr, words
 
 FRAGS = "doc_id string, seq int, frag_id string, text string, x int, y int, w int, h int"
 
@@ -305,43 +305,123 @@ def test_text_source(spark):
     assert words(docs).count() == 3
 
 
-def models():
-    """(echo, broken): a model that fails on long prompts, and one without a server.
-    Made here so that they travel to the workers by value."""
+def models(log=None):
+    """(echo, broken, shaky): a model that fails on long prompts, one without a server,
+    and one that fails at its first call for a prompt. Made here so that they travel to
+    the workers by value; log is a folder where calls leave a file each."""
 
     def echo(system, user):
+        if log:
+            import tempfile
+
+            tempfile.mkstemp(dir=log)
         lines = user.split("\n")
-        return "\n".join(f"{x.split(': ')[0]}: {'???' if len(lines) > 5 else 'name'}" for x in lines)
+        kind = "email" if "marksheet" in system.split("Where a private")[-1] else "name"
+        return "\n".join(f"{x.split(': ')[0]}: {'???' if len(lines) > 5 else kind}" for x in lines)
 
     def broken(system, user):
         raise OSError("no server")
 
-    return echo, broken
+    def shaky(system, user):
+        import hashlib
+        import os
+
+        mark = os.path.join(log, hashlib.md5(user.encode()).hexdigest())
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            raise OSError("not yet")
+        return "FLAGGED: w0001, w0009\nREASON: x" if "Purpose" in user else "\n".join(f"{x.split(': ')[0]}: email" for x in user.split("\n"))
+
+    return echo, broken, shaky
 
 
-def test_model_labels_are_split_on_failure_and_fail_closed(spark):
-    echo, broken = models()
-    frags = layout(spark, [(10, "a b c d e f g h i j")])
-    got = http_labels(frags, echo, batch_size=10)  # ten fail, then twice five succeed
-    assert {r["ftype"] for r in got.collect()} == {"name"} and got.count() == 10
+def test_model_labels_are_split_on_failure_and_fail_closed(spark, tmp_path):
+    echo, broken, shaky = models(str(tmp_path))
+    frags = layout(spark, [(10, "a b c d e f g h i j k")])
+    got = http_labels(frags, echo, batch_size=11)  # eleven fail, then five succeed and six fail, then three and three
+    assert {r["ftype"] for r in got.collect()} == {"name"} and got.select("frag_id").distinct().count() == got.count() == 11
     assert http_labels(frags, broken).count() == 0
+    assert {r["ftype"] for r in http_labels(frags, shaky).collect()} == {"email"}  # a failed call is made again
+    noted = spark.createDataFrame([("d", "marksheet")], "doc_id string, document_type string")
+    assert {r["ftype"] for r in http_labels(frags, echo, batch_size=5, types=noted).collect()} == {"email"}
     replies = asked(spark.createDataFrame([("d", 0, "p")], "doc_id string, batch int, prompt string"), broken, "s").first()
     assert replies["raw"] is None and "no server" in replies["error"]
+    with pytest.raises(ValueError, match="676"):
+        http_labels(frags, echo, batch_size=677)
+
+
+def test_batches_are_halved_by_position(spark):
+    ids = spark.createDataFrame([("d", k, f"w{k}", 3 if k < 7 else 4, "x") for k in range(12)], "doc_id string, seq int, frag_id string, batch int, short_id string")
+    got = [(r["seq"], r["batch"], r["short_id"]) for r in halves(ids).orderBy("seq").collect()]
+    assert got == [(0, 6, "a00"), (1, 6, "a01"), (2, 6, "a02"), (3, 7, "a00"), (4, 7, "a01"), (5, 7, "a02"), (6, 7, "a03")]  # five are halved no more
+
+
+def test_model_classes_flags_and_warm_up(spark, tmp_path):
+    echo, broken, shaky = models(str(tmp_path))
+    frags = with_lines(layout(spark, [(10, "a b c")]))
+    assert [tuple(r)[:2] for r in http_classes(frags, lambda system, user: "A marksheet.").collect()] == [("d", "marksheet")]
+    failed = http_classes(frags, broken).first()
+    assert failed["document_type"] == "other" and "no server" in failed["error"]
+    visible = frags.withColumn("purpose", F.lit("p")).withColumn("frag_id", F.concat(F.lit("w000"), F.col("seq")))
+    assert [tuple(r) for r in http_flags(visible, shaky).collect()] == [("d", "p", 0, "w0001")]  # asked again; w0009 is not shown
+    assert http_flags(visible, broken).count() == 0
+    assert warm_up(lambda system, user: "ready") and not warm_up(broken)
+    assert reachable("http://127.0.0.1:9")[0] is False
+
+
+def test_labels_are_stored_by_content(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    echo, broken, _ = models(str(calls))
+    store = str(tmp_path / "store")
+    texts = spark.createDataFrame([("a", "one two"), ("b", "one two"), ("c", "three")], "doc_id string, text string")
+    frags = fragments(texts)
+    assert labels_through(frags, lambda f: http_labels(f, broken), store).count() == 0  # failures are not stored
+    got = {(r["doc_id"], r["frag_id"], r["ftype"]) for r in labels_through(frags, lambda f: http_labels(f, echo), store).collect()}
+    assert got == {("a", "w0001", "name"), ("a", "w0002", "name"), ("b", "w0001", "name"), ("b", "w0002", "name"), ("c", "w0001", "name")}
+    n = len(list(calls.iterdir()))
+    assert n == 2  # two contents
+    assert labels_through(frags, lambda f: http_labels(f, echo), store).count() == 5 and len(list(calls.iterdir())) == n
+    clear_store(spark, store)
+    assert read_store(spark, store).count() == 0
+
+
+def test_results_tell_what_happened(spark):
+    decided = run_golden(spark)
+    got = {(r["doc_id"], r["purpose"]): r for r in decide.results(decided).collect()}
+    aadhaar = got["aadhaar", "id_verification"]
+    assert sum(len(aadhaar[k]) for k in ("visible_ids", "partial_ids", "redact_ids")) == golden(spark).where("doc_id = 'aadhaar'").count()
+    for r in got.values():
+        assert {h["frag_id"] for h in r["hits"]} <= set(r["redact_ids"]) | {x for x in r["visible_ids"]}
+        assert any("net for personal data" in w for w in r["warnings"]) == any(h["pattern"] != "audit" for h in r["hits"])
+        assert set(r["partial_masks"]) == set(r["partial_ids"]) and not r["unlabelled_ids"]
+    bare = decide.results(run_golden(spark, rule_labels(golden(spark)).where("false"))).where("doc_id = 'pan' AND purpose = 'education_proof'").first()
+    assert len(bare["unlabelled_ids"]) == len(bare["redact_ids"]) and bare["warnings"][0].endswith("without a label: redacted")
+
+
+def test_dropped_words_are_counted(spark):
+    raw = spark.createDataFrame([("d", "a", "95"), ("d", " ", "95"), ("d", "b", "29"), ("d", "c", "bad"), ("d", None, "99")], "doc_id string, text string, conf string")
+    assert tuple(dropped_words(raw).first()) == ("d", 2, 2, 1)
 
 
-def test_streaming_decides_each_content_once(spark, tmp_path):
+def test_streaming_decides_each_document(spark, tmp_path):
     from veilspark.streaming.documents import read_documents, redact_stream
 
-    source = str(tmp_path / "in")
-    spark.createDataFrame([("d1", "Account Holder: ARJUN 9876543210", "2026-01-01"), ("d2", "Account Holder: ARJUN 9876543210", "2026-01-01")], "doc_id string, text string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(source)
+    source, calls = str(tmp_path / "in"), tmp_path / "calls"
+    calls.mkdir()
+    text = "Account Holder: ARJUN 9876543210"
+    rows = [("d1", text, "2026-01-01"), ("d2", text, "2026-01-01"), ("d1", text, "2026-01-01"), ("d3", None, "2026-01-01"), ("d4", None, "2026-01-01")]
+    spark.createDataFrame(rows, "doc_id string, text string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(source)
     seen = []
 
     def sink(batch, number):
         seen.extend((r["doc_id"], r["text"], r["purpose"], r["outcome"]) for r in batch.collect())
 
-    redact_stream(read_documents(spark, source), policy_rules(read_presets(spark)), sink, str(tmp_path / "check")).awaitTermination()
-    assert len({d for d, *_ in seen}) == 1 and len(seen) == 4 * 4
+    echo, _, _ = models(str(calls))
+    redact_stream(read_documents(spark, source), policy_rules(read_presets(spark)), sink, str(tmp_path / "check"), lambda f: http_labels(f, echo), store=str(tmp_path / "store")).awaitTermination()
+    assert {d for d, *_ in seen} == {"d1", "d2"} and len(seen) == 2 * 4 * 4  # d3 and d4 have no fragments
     assert {o for _, t, _, o in seen if t == "9876543210"} == {"redact"}
+    assert len(list(calls.iterdir())) == 1  # one content, one call
 
 
 def test_pattern_hits_keep_all_matches(spark):

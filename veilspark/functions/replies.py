@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.text import match_type, short_id, strip
+from veilspark.functions.text import MOST_IDS, match_type, short_id, strip
 from veilspark.schema import AUDIT_LINE, BATCH, DOCUMENT_TYPES, LABEL_LINE, NO_FLAG_WORDS
 
 
 def short_ids(frags: DataFrame, batch_size: int = BATCH) -> DataFrame:
-    """Adds batch and short_id: fragments in order of seq are cut into batches; inside a
-    batch they are named a00, a01, …"""
+    """Adds batch and short_id: fragments in order of seq are cut into batches of at most
+    MOST_IDS; inside a batch they are named a00, a01, …"""
+    if not 0 < batch_size <= MOST_IDS:
+        raise ValueError(f"a batch has 1 to {MOST_IDS} fragments: there are no more short ids")
     from pyspark.sql import Window
 
     w = Window.partitionBy("doc_id").orderBy("seq")

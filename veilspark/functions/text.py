@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from veilspark.schema import FIELD_TYPES, LABEL_PHRASE, LEDGER_DATE, MIN_HIDDEN, MIN_PREFIX, MONEY, PATTERNS
 
 UNICODE = "(?U)"
+#: Short ids of one batch, a00 to z25.
+MOST_IDS = 26 * 26
 
 
 def strip(text: Column) -> Column:
@@ -95,7 +97,7 @@ def match_type(token: Column) -> Column:
 
 def short_id(index: Column) -> Column:
     """a00, a01, … z25 for 0 to 675; null beyond, where the code ends."""
-    return F.when(index < 676, F.concat(F.char(97 + F.floor(index / 26)), F.lpad((index % 26).cast("string"), 2, "0")))
+    return F.when(index < MOST_IDS, F.concat(F.char(97 + F.floor(index / 26)), F.lpad((index % 26).cast("string"), 2, "0")))
 
 
 def clean_ids(ids: Column) -> Column:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilspark.sources.tables import materialized
+
+STORE = "key string, frag_id string, ftype string, inserted_at timestamp"
+
 
 def content_keys(frags: DataFrame) -> DataFrame:
     """(doc_id, key): extent and sha256 of a document's fragments in order of seq."""
@@ -39,3 +45,32 @@ def retained(cached: DataFrame, most: int | None = None) -> DataFrame:
 def latest(cached: DataFrame) -> DataFrame:
     w = Window.partitionBy("key", "frag_id").orderBy(F.col("inserted_at").desc())
     return cached.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The stored labels, the last of each fragment; empty where nothing is stored yet."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return latest(spark.read.schema(STORE).parquet(path)) if there else spark.createDataFrame([], STORE)
+
+
+def clear_store(spark: SparkSession, path: str) -> None:
+    """Forget all stored labels."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def labels_through(frags: DataFrame, labeler: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """Labels (doc_id, frag_id, ftype) of all fragments, each content labelled once: known
+    contents from the store, new ones by the labeler, for one document of each content,
+    and then stored. Contents without any label are not stored, so they are tried again."""
+    spark = frags.sparkSession
+    keys = materialized(content_keys(frags))
+    known = read_store(spark, path)
+    new = misses(keys, known.select("key").distinct()).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    new = materialized(new)
+    own = frags.join(new.select("doc_id"), "doc_id", "left_semi")
+    fresh = labeler(own).join(new, "doc_id").select("key", "frag_id", "ftype", F.current_timestamp().alias("inserted_at"))
+    materialized(fresh).write.mode("append").parquet(path)
+    return hits(keys, read_store(spark, path).drop("inserted_at")).select("doc_id", "frag_id", "ftype")

@@ -71,10 +71,28 @@ def fail_closed(frags: DataFrame, purposes: DataFrame) -> DataFrame:
 
 
 def results(decided: DataFrame) -> DataFrame:
-    """One row for each document and purpose: id lists, masks and counts of outcomes."""
-    ids = lambda o: F.array_sort(F.collect_list(F.when(F.col("outcome") == o, F.col("frag_id"))))
-    masks = F.map_from_entries(F.collect_list(F.when(F.col("outcome") == "partial", F.struct("frag_id", "mask"))))
-    return decided.groupBy("doc_id", "purpose").agg(ids("keep").alias("visible_ids"), ids("partial").alias("partial_ids"), ids("redact").alias("redact_ids"), masks.alias("partial_masks"))
+    """One row for each document and purpose: id lists, masks, what the nets and the audit
+    hit and why, and warnings for a reader.
+
+    warnings tells of unlabelled fragments, masks and values that could not be masked,
+    nets, audits and repairs, each with its count; it is empty for a plain run."""
+    ids = lambda o: F.array_sort(F.collect_list(F.when(o, F.col("frag_id"))))
+    is_ = lambda o: F.col("outcome") == o
+    none = F.lit(None).cast("boolean")
+    flag = lambda name: F.coalesce(F.col(name) if name in decided.columns else none, F.lit(False))
+    hit = F.when(F.col("pattern").isNotNull(), F.struct("frag_id", "pattern", "matched_text")).when(flag("audited"), F.struct("frag_id", F.lit("audit").alias("pattern"), F.lit(None).cast("string").alias("matched_text")))
+    masks = F.map_from_entries(F.collect_list(F.when(is_("partial"), F.struct("frag_id", "mask"))))
+    unlabelled = F.col("ftype").isNull()
+    counts = {
+        "without a label: redacted": unlabelled, "shown by a mask": is_("partial"), "that could not be masked: redacted": flag("unmaskable"), "hidden by a net for personal data": F.col("pattern").isNotNull(),
+        "hidden by the audit": flag("audited"), "given back by the repair": flag("repaired"),
+    }
+    grouped = decided.groupBy("doc_id", "purpose").agg(
+        ids(is_("keep")).alias("visible_ids"), ids(is_("partial")).alias("partial_ids"), ids(is_("redact")).alias("redact_ids"), masks.alias("partial_masks"), ids(unlabelled).alias("unlabelled_ids"),
+        F.array_sort(F.collect_list(hit)).alias("hits"), *[F.count_if(c).alias(f"_n{i}") for i, c in enumerate(counts.values())],
+    )
+    warnings = F.array_compact(F.array(*[F.when(F.col(f"_n{i}") > 0, F.concat(F.col(f"_n{i}").cast("string"), F.lit(f" fragment(s) {text}"))) for i, text in enumerate(counts)]))
+    return grouped.withColumn("warnings", warnings).drop(*[f"_n{i}" for i in range(len(counts))])
 
 
 def summary(decided: DataFrame) -> DataFrame:

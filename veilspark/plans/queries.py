@@ -480,6 +480,7 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- replies, ids, cache ------------------------------------------------------
 
+#: Fixed values from here on to CASES: small literal inputs and what must come of them.
 REPLIES = [
     ("r1", 0, "a00: name\na01: account_num"), ("r2", 0, "a00: trans\na01: o"), ("r3", 0, "- **a00**: name\n* a01 = address\n1. `a02` -> phone_number"),
     ("r4", 0, "a00: the type is other_amount\na01: it is other"), ("r5", 0, "a00: name\nZZ: address\nb99: nonsense_type"), ("r6", 0, "a00: name\na00: address"),

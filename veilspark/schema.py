@@ -51,6 +51,7 @@ VALUE_LABELS = (
 )
 RETYPEABLE = ("label_text", "other", "account_number", "ifsc_code", "phone_number", "pf_number", "roll_number", "aadhaar_number", "pan_number", "voter_id_number")
 NO_FLAG_WORDS = ("none", "n/a", "na", "no", "nothing", "nil", "-", "[]", "{}", "no ids")
+#: Tell-tale words of document types, as they are: a model is told the same.
 CLASSIFY_WORDS = {
     "bank_statement": ("account number", "ifsc", "branch", "statement period", "balance"),
     "pan_card": ("permanent account number", "father's name", "income tax"),

@@ -30,10 +30,10 @@ def image_scale(width: Column, height: Column) -> Column:
 
 
 def find_tesseract() -> str:
-    """The configured program (REDACT_TESSERACT), else the one on the path."""
-    found = os.environ.get("REDACT_TESSERACT") or shutil.which("tesseract")
+    """The configured program (VEILSPARK_TESSERACT), else the one on the path."""
+    found = os.environ.get("VEILSPARK_TESSERACT") or shutil.which("tesseract")
     if not found:
-        raise RuntimeError("tesseract was not found: set REDACT_TESSERACT or the path")
+        raise RuntimeError("tesseract was not found: set VEILSPARK_TESSERACT or the path")
     return found
 
 

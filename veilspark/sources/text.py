@@ -42,3 +42,10 @@ def from_ocr(raw: DataFrame, floor: float = 30) -> DataFrame:
     kept = raw.withColumn("text", text).withColumn("conf", F.coalesce(F.col("conf").try_cast("double"), F.lit(-1.0))).where((F.col("text") != "") & (F.col("conf") >= floor))
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal"))
     return kept.select("doc_id", seq.alias("seq"), F.format_string("w%04d", seq).alias("frag_id"), "text", n("left").alias("x"), n("top").alias("y"), n("width").alias("w"), n("height").alias("h"), "conf", n("block_num").alias("block_num"), n("par_num").alias("par_num"), n("line_num").alias("line_num"))
+
+
+def dropped_words(raw: DataFrame, floor: float = 30) -> DataFrame:
+    """(doc_id, blank, uncertain, kept): how many raw OCR rows from_ocr drops, and why."""
+    bare = F.coalesce(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""), F.lit("")) == ""
+    unsure = ~bare & (F.coalesce(F.col("conf").try_cast("double"), F.lit(-1.0)) < floor)
+    return raw.groupBy("doc_id").agg(F.count_if(bare).alias("blank"), F.count_if(unsure).alias("uncertain"), F.count_if(~bare & ~unsure).alias("kept"))
