@@ -45,7 +45,7 @@ class Settings:
     rows: int = 5
     tolerance: float = 1e-6
     step: int = 16
-    block: int = 256
+    block: int = 128
 
     @property
     def hashes(self) -> int:
