@@ -74,18 +74,28 @@ def prefix_sums(df: DataFrame, parts: list[str], key: str, ties: list[str], weig
     """Exclusive running sum of `weight` within `parts`, in the order of the
     uniformly distributed 64-bit `key` (ties broken by `ties`).
 
-    Two levels, so that no task ever holds a whole part however hot it is: rows
-    fall into equal ranges of the key; the ranges' totals (parts x buckets rows)
-    are summed in order; rows are then ranked inside their own range only."""
+    Three levels, so that no task ever holds a whole part however hot it is: rows
+    fall into equal ranges of the key, and ranges into about as many bundles as a bundle
+    has ranges. The totals of a part's bundles are summed in order, then those of the
+    ranges in each bundle; rows are ranked inside their own range only."""
+    own = lambda prefix: [F.col(p).alias(f"{prefix}{i}") for i, p in enumerate(parts)]
+
+    def same(prefix: str, level: str) -> Column:
+        found = F.col(level) == F.col(f"{prefix}{level}")
+        for i, p in enumerate(parts):
+            found = found & F.col(p).eqNullSafe(F.col(f"{prefix}{i}"))
+        return found
+
     ranged = df.withColumn("_range", bucket_of(F.col(key), buckets))
-    totals = ranged.groupBy(*parts, "_range").agg(F.sum(weight).alias("_total"))
-    before = Window.partitionBy(*parts).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(parts)], F.col("_range").alias("_r"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    bundle = F.shiftright("_range", (buckets.bit_length() - 1) // 2).alias("_bundle")
+    totals = ranged.groupBy(*parts, "_range").agg(F.sum(weight).alias("_total")).select("*", bundle)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    bundles = totals.groupBy(*parts, "_bundle").agg(F.sum("_total").alias("_total"))
+    firsts = bundles.select(*own("_q"), F.col("_bundle").alias("_q_bundle"), F.coalesce(F.sum("_total").over(before(Window.partitionBy(*parts).orderBy("_bundle"))), F.lit(0)).alias("_first"))
+    summed = totals.withColumn("_more", F.coalesce(F.sum("_total").over(before(Window.partitionBy(*parts, "_bundle").orderBy("_range"))), F.lit(0)))
+    starts = summed.join(firsts, same("_q", "_bundle")).select(*own("_p"), F.col("_range").alias("_p_range"), (F.col("_first") + F.col("_more")).alias("_start"))
     inside = Window.partitionBy(*parts, "_range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
     dealt = ranged.repartition(*parts, "_range")  # else Spark may keep an earlier dealing by the parts alone
     ranked = dealt.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    same = F.col("_range") == F.col("_r")
-    for i, p in enumerate(parts):
-        same = same & F.col(p).eqNullSafe(F.col(f"_p{i}"))
-    joined = ranked.join(starts, same)
+    joined = ranked.join(starts, same("_p", "_range"))
     return joined.select(*df.columns, (F.col("_start") + F.col("_inside")).alias(out))
