@@ -11,7 +11,7 @@ from veilspark.functions.replies import document_type, failed_replies, label_lin
 from veilspark.functions.text import clean_ids, mask_value, match_type, matches, may_hit, pii_hits, rule_label
 from veilspark.operators import anchors, cache, decide, verify
 from veilspark.operators.boxes import merge_boxes, redacted_text, uncovered
-from veilspark.operators.layout import median_heights, near, overlaps, row_flags, row_of, row_texts, with_lines, with_rows
+from veilspark.operators.layout import laid_out, median_heights, near, overlaps, row_flags, row_of, row_texts, with_lines, with_rows
 from veilspark.operators.nets import context_hits, pii_ids
 from veilspark.operators.policy import apply_policy
 from veilspark.plans import sql
@@ -320,9 +320,9 @@ _LEDGER_RECONCILE = sql.steps(LEDGER_SQL, sql.ROWS, sql.FLAGS, sql.VALUES, sql.A
 def reconcile_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The policy's claims on all labelled fragments of the ledger and the nets' claims on
     what they hit; fragments of type other have no claim but the nets'."""
-    frags, rules = ledger(spark, sf_dir), rules_of(spark)
-    policed = apply_policy(anchors.anchor_all(wide_of(frags)), rules).where("ftype <> 'other'").select("doc_id", "purpose", "frag_id", "outcome")
-    hit = pii_ids(with_lines(frags)).crossJoin(F.broadcast(rules.select("purpose").distinct()))  # four rows
+    frags, rules = materialized(laid_out(marked(ledger(spark, sf_dir)))), rules_of(spark)
+    policed = apply_policy(anchors.anchor_all(materialized(anchors.labelled(frags))), rules).where("ftype <> 'other'").select("doc_id", "purpose", "frag_id", "outcome")
+    hit = pii_ids(frags).crossJoin(F.broadcast(rules.select("purpose").distinct()))  # four rows
     return decide.reconcile(frags, policed.unionByName(hit.withColumn("outcome", F.lit("redact"))))
 
 
@@ -413,9 +413,14 @@ _HELD = ", held AS (SELECT c.doc_id, c.purpose, c.frag_id, count(b.doc_id) AS n
 PAGE = ("doc_id", "purpose")
 
 
+def _hidden(decided: DataFrame) -> DataFrame:
+    """What boxes must cover, written once: lines, boxes and the check each read it."""
+    return materialized(decided.where("outcome <> 'keep'").select("doc_id", "purpose", "frag_id", "seq", "x", "y", "w", "h"))
+
+
 def _uncovered(decided: DataFrame) -> DataFrame:
     """Hidden words under each purpose, and those outside the boxes of their page."""
-    hidden = decided.where("outcome <> 'keep'").drop("line_no")
+    hidden = _hidden(decided)
     bad = uncovered(hidden, merge_boxes(hidden, keys=PAGE), PAGE).groupBy(F.col("purpose").alias("_p")).agg(F.count("*").alias("bad"))
     n = hidden.groupBy("purpose").agg(F.count("*").alias("n_covered"))
     return n.join(F.broadcast(bad), F.col("purpose") == F.col("_p"), "left").select("purpose", "n_covered", F.coalesce("bad", F.lit(0)).alias("n_uncovered"))  # a row a purpose
@@ -423,14 +428,12 @@ def _uncovered(decided: DataFrame) -> DataFrame:
 
 @query(sql.plan(LEDGER_SQL) + _BOXES + "SELECT doc_id, purpose, x0, y0, x1, y1 FROM boxes")
 def merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    covered = decided_ledger(spark, sf_dir).where("outcome <> 'keep'").drop("line_no")
-    return merge_boxes(covered, keys=PAGE).select("doc_id", "purpose", "x0", "y0", "x1", "y1")
+    return merge_boxes(_hidden(decided_ledger(spark, sf_dir)), keys=PAGE).select("doc_id", "purpose", "x0", "y0", "x1", "y1")
 
 
 @query(sql.plan(GOLDEN_SQL) + _BOXES + "SELECT doc_id, purpose, line_no, x0, y0, x1, y1 FROM boxes")
 def merged_boxes_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    covered = decided_golden(spark).where("outcome <> 'keep'").drop("line_no")
-    return merge_boxes(covered, keys=PAGE).select("doc_id", "purpose", "line_no", "x0", "y0", "x1", "y1")
+    return merge_boxes(_hidden(decided_golden(spark)), keys=PAGE).select("doc_id", "purpose", "line_no", "x0", "y0", "x1", "y1")
 
 
 @query(sql.plan(GOLDEN_SQL) + _BOXES + _HELD)
