@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.replies import document_type, parse_labels
 from veilspark.functions.text import mask_value, match_type, pii_hits, short_id
-from veilspark.operators import anchors, decide, verify
-from veilspark.operators.boxes import merge_boxes, redacted_text, uncovered
+from veilspark.operators import anchors, boxes, decide, verify
+from veilspark.operators.boxes import merge_boxes, own_boxes, redacted_text, uncovered
 from veilspark.operators.cache import clear_store, content_keys, hits, labels_through, misses, read_store
 from veilspark.operators.layout import laid_out, median_heights, row_texts, with_lines, with_rows
 from veilspark.operators.nets import context_hits, pattern_hits, with_nets
@@ -260,6 +260,43 @@ def test_uncovered_words_are_found_in_whatever_line_their_box_is(spark):
     assert [r[0] for r in uncovered(frags, small).select("doc_id").distinct().collect()] == ["pan"]
 
 
+def plain_boxes(words):
+    """Boxes of one page of (seq, x, y, w, h), one word at a time."""
+    order = sorted(words, key=lambda f: (f[2] + f[4] / 2, f[0]))
+    tolerance, lines = max(sorted(f[4] for f in words)[len(words) // 2] / 2, 6), []
+    for f in order:
+        c = f[2] + f[4] / 2
+        if not lines or abs(c - sum(a[2] + a[4] / 2 for a in lines[-1]) / len(lines[-1])) > tolerance:
+            lines.append([])
+        lines[-1].append(f)
+    out = []
+    for no, line in enumerate(lines):
+        runs = []
+        for f in sorted(line, key=lambda f: (f[1], f[2] + f[4] / 2, f[0])):
+            if not runs or f[1] - (runs[-1][-1][1] + runs[-1][-1][3]) > max(f[4], runs[-1][-1][4]):
+                runs.append([])
+            runs[-1].append(f)
+        out += [(no, k, min(f[1] for f in r) - 5, min(f[2] for f in r) - 5, max(f[1] + f[3] for f in r) + 5, max(f[2] + f[4] for f in r) + 5) for k, r in enumerate(runs)]
+    return out
+
+
+def test_boxes_of_whole_pages_equal_the_plain_ones_and_words_meet_their_own_first(spark, monkeypatch):
+    rng = random.Random(5)
+    pages = {(f"d{d}", p): [(k, rng.randrange(800), rng.randrange(rng.choice([60, 900])), rng.randrange(5, 90), rng.choice([8, 13, 20, 40])) for k in range(rng.choice([1, 3, 40, 150]))] for d in range(30) for p in "ab"}
+    frags = spark.createDataFrame([(*page, f"w{f[0]}", *f) for page, fs in pages.items() for f in fs], "doc_id string, purpose string, frag_id string, seq int, x int, y int, w int, h int").repartition(5)
+    monkeypatch.setattr(boxes, "PAGE_CHUNK", 50)  # pages over the ends of chunks
+    got = {}
+    for r in merge_boxes(frags, keys=queries.PAGE).collect():
+        got.setdefault((r["doc_id"], r["purpose"]), []).append(tuple(r)[2:])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(plain_boxes(v)) for k, v in pages.items()}
+    own = own_boxes(frags, keys=queries.PAGE)
+    assert own.agg(F.sum("n"), F.sum("outside")).first()[:] == (frags.count(), 0) and own.count() == len(pages)
+    plan = own_boxes(frags.localCheckpoint(), keys=queries.PAGE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan  # one look at each word, no word meets a box
+    nowhere = frags.withColumn("outcome", F.lit("redact")).withColumn("x", F.when(~((F.col("doc_id") == "d3") & (F.col("seq") == 0) & (F.col("purpose") == "a")), F.col("x")))
+    assert {r["purpose"]: r["n_uncovered"] for r in queries._uncovered(nowhere).collect()} == {"a": 1, "b": 0}
+
+
 def test_whole_job_queries_leave_no_fragment_out(spark, sf_dir):
     run = lambda name: queries.QUERIES[name](spark, sf_dir)
     n = ledger(spark, sf_dir).count()

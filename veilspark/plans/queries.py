@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.replies import document_type, failed_replies, label_lines, parse_audits, parse_labels, short_ids
 from veilspark.functions.text import clean_ids, mask_value, match_type, matches, may_hit, pii_hits, rule_label
 from veilspark.operators import anchors, cache, decide, verify
-from veilspark.operators.boxes import merge_boxes, redacted_text, uncovered
+from veilspark.operators.boxes import merge_boxes, own_boxes, redacted_text, uncovered
 from veilspark.operators.layout import laid_out, median_heights, near, overlaps, row_flags, row_of, row_texts, with_lines, with_rows
 from veilspark.operators.nets import context_hits, pii_ids
 from veilspark.operators.policy import apply_policy
@@ -413,27 +413,35 @@ _HELD = ", held AS (SELECT c.doc_id, c.purpose, c.frag_id, count(b.doc_id) AS n
 PAGE = ("doc_id", "purpose")
 
 
+def _covered(decided: DataFrame) -> DataFrame:
+    """What boxes must cover."""
+    return decided.where("outcome <> 'keep'").select("doc_id", "purpose", "frag_id", "seq", "x", "y", "w", "h")
+
+
 def _hidden(decided: DataFrame) -> DataFrame:
-    """What boxes must cover, written once: lines, boxes and the check each read it."""
-    return materialized(decided.where("outcome <> 'keep'").select("doc_id", "purpose", "frag_id", "seq", "x", "y", "w", "h"))
+    """The same, written once: lines, boxes and the check each read it."""
+    return materialized(_covered(decided))
 
 
 def _uncovered(decided: DataFrame) -> DataFrame:
-    """Hidden words under each purpose, and those outside the boxes of their page."""
+    """Hidden words under each purpose, and those outside the boxes of their page. A word
+    meets the box of its own run first; only if one is outside do words meet the others."""
+    n = materialized(own_boxes(_covered(decided), keys=PAGE).groupBy("purpose").agg(F.sum("n").alias("n_covered"), F.sum("outside").alias("outside")))
+    if n.where("outside > 0").isEmpty():
+        return n.select("purpose", "n_covered", F.col("outside").alias("n_uncovered"))
     hidden = _hidden(decided)
     bad = uncovered(hidden, merge_boxes(hidden, keys=PAGE), PAGE).groupBy(F.col("purpose").alias("_p")).agg(F.count("*").alias("bad"))
-    n = hidden.groupBy("purpose").agg(F.count("*").alias("n_covered"))
     return n.join(F.broadcast(bad), F.col("purpose") == F.col("_p"), "left").select("purpose", "n_covered", F.coalesce("bad", F.lit(0)).alias("n_uncovered"))  # a row a purpose
 
 
 @query(sql.plan(LEDGER_SQL) + _BOXES + "SELECT doc_id, purpose, x0, y0, x1, y1 FROM boxes")
 def merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_boxes(_hidden(decided_ledger(spark, sf_dir)), keys=PAGE).select("doc_id", "purpose", "x0", "y0", "x1", "y1")
+    return merge_boxes(_covered(decided_ledger(spark, sf_dir)), keys=PAGE).select("doc_id", "purpose", "x0", "y0", "x1", "y1")
 
 
 @query(sql.plan(GOLDEN_SQL) + _BOXES + "SELECT doc_id, purpose, line_no, x0, y0, x1, y1 FROM boxes")
 def merged_boxes_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_boxes(_hidden(decided_golden(spark)), keys=PAGE).select("doc_id", "purpose", "line_no", "x0", "y0", "x1", "y1")
+    return merge_boxes(_covered(decided_golden(spark)), keys=PAGE).select("doc_id", "purpose", "line_no", "x0", "y0", "x1", "y1")
 
 
 @query(sql.plan(GOLDEN_SQL) + _BOXES + _HELD)
