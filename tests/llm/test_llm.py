@@ -453,6 +453,27 @@ def test_a_few_garbled_rows_lift_no_limit(spark):
     assert tie.predict(["one and the same"])[0] == ["a"]
 
 
+@pytest.mark.parametrize("query", ["op7_langid", "pipeline"])
+def test_limits_of_rejection_come_from_every_training_row(spark, query):
+    rng = random.Random(11)
+    words = "the cat sat on a mat and then it ran to the old house by the sea where many dogs live".split()
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([3, 10, 40]))), "en") for k in range(4000)] + [(9000 + k, " ".join(rng.choice(["kala", "meri", "talo"]) for _ in range(5)), "fi") for k in range(30)] + [(9900, "42 !", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True))
+    own = {}
+    for _, text, lang in rows[:-1]:
+        h, size = model.entropies([text])
+        own.setdefault(lang, []).append(h[0, model.langs.index(lang)] - langid.SHORT / size[0] ** 0.5)
+    for lang, bits in (own | {"": sum(own.values(), [])}).items():
+        middle = np.median(bits)
+        most = middle + max(langid.DEVIATIONS * 1.4826 * np.median(np.abs(bits - middle)), langid.LEAST_BITS)
+        assert abs(model.limits[lang] - most) < 0.02, lang
+    if query == "pipeline":  # what keep_identified drops is what those limits reject
+        assert {r["doc_id"] for r in langid.keep_identified(docs, model).collect()} == {k for (k, *_), bad in zip(rows, model.predict([t for _, t, _ in rows])[3], strict=True) if not bad}
+    else:
+        assert langid.median(np.array([3.0, 1.0, 2.0]), np.array([1, 1, 2])) == 2 and langid.median(np.array([1.0, 2.0]), np.array([2, 2])) == 1.5
+
+
 def test_langid_query_equals_the_plain_model(spark, sf_dir):
     df = entry.queries()["op7_langid"](spark, sf_dir)
     assert df.dtypes[:4] == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]

@@ -18,9 +18,10 @@ CHUNK_CHARS = 1 << 20
 #: More 4-gram types than this (all languages), or cells of types x languages, and the
 #: driver refuses the model: 256 MB of log-probabilities at most.
 MAX_TYPES, MAX_CELLS = 8_000_000, 1 << 26
-#: Training rows that calibrate the rejection, about this many of each language whatever
-#: the corpus. A language with fewer than LEAST_ROWS takes the limit of all together.
-CALIBRATION_ROWS, LEAST_ROWS = 1000, 20
+#: A language with fewer training rows than this takes the limit of all together.
+LEAST_ROWS = 20
+#: Steps a bit in which the training rows' bits are counted for the limits.
+STEPS = 1000
 #: A text is rejected DEVIATIONS deviations above its language's median, a bit at least.
 #: SHORT is what the square root of a text's length allows: short texts vary more.
 DEVIATIONS, LEAST_BITS, SHORT = 10.0, 1.0, 12.0
@@ -215,6 +216,15 @@ class LanguageModel:
             total[some] = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(size[some])[:-1]]), axis=0, dtype=np.float64)
         return total / np.maximum(size, 1)[:, None], size
 
+    def own_bits(self, texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits a character of training texts in the language that each has, and the
+        number of characters. All their 4-grams have been counted."""
+        gram, doc = grams_of(texts)
+        size = np.bincount(doc, minlength=len(texts))
+        column = np.array([self.langs.index(x) if x in self.langs else 0 for x in langs])  # one without characters may be no model's
+        bits = self.bits[np.searchsorted(self.grams, gram), column[doc]] if len(gram) else np.empty(0)
+        return np.bincount(doc, bits, len(texts)) / np.maximum(size, 1), size
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language ('und' without letters), confidence 0 to 1, lowest bits a character, and whether to reject."""
         langs: list[str] = []
@@ -243,24 +253,25 @@ class LanguageModel:
         return bits - SHORT / np.sqrt(np.maximum(size, 1)) - most
 
 
-def train(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibration_rows: int = CALIBRATION_ROWS) -> LanguageModel:
+def train(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Count all training texts and build the models.
 
     Counts cover every training row. What comes to the driver is one row for each
     4-gram type, refused above MAX_TYPES or MAX_CELLS. The rejection limits are fitted on
-    about calibration_rows training rows of each language, chosen by a hash of the id:
-    the median of the bits a character beyond what a text's length allows, and DEVIATIONS
-    times the deviation that the median absolute deviation stands for, LEAST_BITS at
-    least. So a few garbled rows do not lift a limit, and short texts count.
+    every training row with letters: the median of the bits a character beyond what a
+    text's length allows, and DEVIATIONS times the deviation that the median absolute
+    deviation stands for, LEAST_BITS at least. So a few garbled rows do not lift a limit,
+    and short texts count. Bits are rounded to one in STEPS and counted, so a row comes to
+    the driver for each value that occurs in a language, however many texts have it.
 
     Defined cases: null texts and languages teach nothing; repeated rows count each time;
     null ids are an id; without any training row there is no language; other columns,
     whatever their names, are ignored."""
     chosen = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counted = written(gram_counts(chosen), "grams")
-    sizes = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}  # a row a language
+    n_langs = chosen.select("lang").distinct().count()
     types = counted.count()
-    if types > MAX_TYPES or types * len(sizes) > MAX_CELLS:
+    if types > MAX_TYPES or types * n_langs > MAX_CELLS:
         raise ValueError(f"more than {MAX_TYPES} 4-gram types or {MAX_CELLS} of types x languages: no language model of bounded size")
     rows = counted.toArrow()
     drop_written(counted)
@@ -270,32 +281,36 @@ def train(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     model = LanguageModel.of({x: (gram[lang == x], n[lang == x]) for x in dict.fromkeys(lang.tolist())})
     if not model.langs:
         return model
-    every = F.create_map(*[F.lit(v) for x, k in sorted(sizes.items()) for v in (x, max(1, k // calibration_rows))])
-    sample = chosen.where(F.pmod(F.xxhash64("id"), every[F.col("lang")]) == 0).select("text", "lang")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def bits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def steps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             texts, langs = (c.to_pylist() for c in batch.columns)
-            found = [shared.value.entropies(texts[a:b]) for a, b in in_chunks(texts)]
-            h, size = (np.concatenate([x[k] for x in found]) for k in (0, 1))
-            known = [k for k, y in enumerate(langs) if size[k] and y in shared.value.langs]
-            own = [float(h[k, shared.value.langs.index(langs[k])] - SHORT / size[k] ** 0.5) for k in known]
-            yield pa.RecordBatch.from_arrays([pa.array([langs[k] for k in known], pa.string()), pa.array(own, pa.float64())], names=["lang", "bits"])
-
-    measured = sample.mapInArrow(bits, "lang string, bits double").collect()  # about calibration_rows of each language
-    by: dict[str, list[float]] = {}
-    for r in measured:
-        by.setdefault(r["lang"], []).append(r["bits"])
-    every_bit = [x for own in by.values() for x in own]
-    model.limits = {x: limit(own) for x, own in by.items() if len(own) >= LEAST_ROWS} | ({"": limit(every_bit)} if every_bit else {})
+            found = [shared.value.own_bits(texts[a:b], langs[a:b]) for a, b in in_chunks(texts)]
+            bits, size = (np.concatenate([x[k] for x in found]) if found else np.empty(0) for k in (0, 1))
+            own = np.rint((bits - SHORT / np.sqrt(np.maximum(size, 1))) * STEPS).astype(np.int64)
+            some = pa.array(size > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(own)], names=["lang", "step"]).filter(some)
+
+    measured = chosen.select("text", "lang").mapInArrow(steps, "lang string, step long").groupBy("lang", "step").agg(F.count("*").alias("n")).toArrow()
+    lang, step, n = measured["lang"].to_pandas().to_numpy(), measured["step"].to_numpy(), measured["n"].to_numpy()
+    by = {x: limit(step[lang == x] / STEPS, n[lang == x]) for x in dict.fromkeys(lang.tolist()) if n[lang == x].sum() >= LEAST_ROWS}
+    model.limits = by | ({"": limit(step / STEPS, n)} if len(n) else {})
     return model
 
 
-def limit(bits: list[float]) -> float:
+def median(values: np.ndarray, counts: np.ndarray) -> float:
+    """The median of values that occur so often each."""
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(counts[order])
+    low, high = (values[order][np.searchsorted(upto, k, "right")] for k in ((upto[-1] - 1) // 2, upto[-1] // 2))
+    return float(low + high) / 2
+
+
+def limit(bits: np.ndarray, counts: np.ndarray) -> float:
     """The most that passes: median and deviation stand against a few garbled rows."""
-    middle = float(np.median(bits))
-    spread = 1.4826 * float(np.median(np.abs(np.array(bits) - middle)))
+    middle = median(bits, counts)
+    spread = 1.4826 * median(np.abs(bits - middle), counts)
     return round(middle + max(DEVIATIONS * spread, LEAST_BITS), 6)
 
 
